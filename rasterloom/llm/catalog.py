@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import mixing, url_filter, warc
+from . import mixing, token_files, url_filter, warc
 from .trie_dedup import exact_owners
 
 
@@ -18,6 +18,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_owners(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES)
 
@@ -29,6 +33,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_token_files": op5_token_files,
     "op7_url_filter": op7_url_filter,
     "op9_mixing": op9_mixing,
 }

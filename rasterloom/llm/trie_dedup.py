@@ -41,15 +41,16 @@ class PatriciaTrie:
     def __init__(self, merge: Callable, limit: int = SPILL_BYTES):
         self.merge, self.limit, self.root, self.bytes, self.spills = merge, limit, _Node(b""), 0, 0
 
-    def insert(self, key: bytes, value) -> None:
+    def insert(self, key: bytes, value):
+        """Returns what the key's terminal now holds; None if it went to a file."""
         node, at = self.root, 0
         while True:
             if node.file is not None:
                 pickle.dump((key, value), node.file)
-                return
+                return None
             if at == len(key):
                 node.value = value if node.value is None else self.merge(node.value, value)
-                return
+                return node.value
             child = node.children.get(key[at])
             if child is None:
                 node.children[key[at]] = _Node(key[at:], value)
@@ -66,6 +67,7 @@ class PatriciaTrie:
             node, at = child, at + len(label)
         while self.bytes > self.limit and self._spill():
             pass
+        return value
 
     @staticmethod
     def _walk(node: _Node, prefix: bytes) -> Iterator[tuple[bytes, _Node]]:
@@ -130,40 +132,50 @@ def _least(a: int | None, b: int | None) -> int | None:
 
 
 def _owners(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """First level: one trie per (length, hash) seen in this input partition. Every row gets the key of its
-    local class; the class's first row carries the text. Past ``limit`` text bytes the tries start anew,
-    which only leaves more local classes."""
+    """First level: one trie per (length, hash) seen in this input partition, whose terminals hold the local
+    class, the smallest id and the number of rows. Every row leaves with the key of its local class; classes
+    leave with their text at the end. Past ``limit`` text bytes they leave at once and the tries start anew,
+    which only makes more local classes."""
     from pyspark import TaskContext
 
     part, serial, tries, held = TaskContext.get().partitionId(), 0, {}, 0
+
+    def merge(a, b):
+        return (a[0], _least(a[1], b[1]), a[2] + b[2])
+
     for batch in batches:
-        local, texts = [], []
-        for sha, text in zip(batch["sha"].to_pylist(), batch["norm"].cast(pa.binary()).to_pylist()):
+        local = []
+        for doc_id, sha, text in zip(batch["doc_id"].to_pylist(), batch["sha"].to_pylist(), batch["norm"].cast(pa.binary()).to_pylist()):
             trie = tries.get((len(text), sha))
             if trie is None:  # never spills by itself: the sum of all tries is bounded below
-                trie = tries[len(text), sha] = PatriciaTrie(lambda old, new: old, float("inf"))
-            fresh = (part << 33) + serial
-            trie.insert(text, fresh)
-            own = _terminal(trie, text)
-            if own == fresh:
+                trie = tries[len(text), sha] = PatriciaTrie(merge, float("inf"))
+            own = trie.insert(text, ((part << 33) + serial, doc_id, 1))[0]
+            if own == (part << 33) + serial:
                 serial += 1
                 held += len(text)
             local.append(own)
-            texts.append(text if own == fresh else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["sha"], pa.array(local, pa.int64()), pa.array(texts, pa.binary())],
-            names=["doc_id", "sha", "local", "bytes"],
-        )
+        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "sha": batch["sha"], "local": local, "bytes": pa.nulls(len(local), pa.binary()), "count": pa.nulls(len(local), pa.int64())}, _ROWS)
         if held > limit:
+            yield from _leaving(tries)
             tries, held = {}, 0
+    yield from _leaving(tries)
+
+
+_ROWS = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("local", pa.int64()), ("bytes", pa.binary()), ("count", pa.int64())])
 
 
-def _terminal(trie: PatriciaTrie, key: bytes) -> int:
-    node, at = trie.root, 0
-    while at < len(key):
-        node = node.children[key[at]]
-        at += len(node.label)
-    return node.value
+def _leaving(tries: dict) -> Iterator[pa.RecordBatch]:
+    """Rows of the local classes, a few MB of text at a time; here doc_id is the smallest of the class."""
+    rows, size = [], 0
+    for (_, sha), trie in tries.items():
+        for text, (local, least, count) in trie.items():
+            rows.append((least, sha, local, text, count))
+            size += len(text)
+            if size > 4 << 20 or len(rows) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
+                rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
 
 
 def _classes(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -215,11 +227,11 @@ def exact_owners(docs: DataFrame, limit: int = SPILL_BYTES) -> DataFrame:
     """
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " ")
     rows = docs.select(F.col("doc_id").cast("long"), norm.alias("norm")).withColumn("sha", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
-    seen = staged(arrow_map(rows, lambda it: _owners(it, limit), "doc_id long, sha binary, local long, bytes binary"), "trie")
-    tally = seen.groupBy("local").agg(F.min("doc_id").alias("least"), F.count("*").alias("count"))
-    owners = seen.where("bytes is not null").select("sha", "local", "bytes", F.length("bytes").alias("n")).join(tally, "local")
+    seen = staged(arrow_map(rows, lambda it: _owners(it, limit), "doc_id long, sha binary, local long, bytes binary, count long"), "trie")
+    owners = seen.where("bytes is not null").select(F.length("bytes").alias("n"), "sha", "bytes", "local", F.col("doc_id").alias("least"), "count")
     owners = owners.repartition("n", "sha").sortWithinPartitions("n", "sha")
-    classes = arrow_map(owners.select("n", "sha", "bytes", "local", "least", "count"), lambda it: _classes(it, limit), "local long, keep_id long, group_size long")
+    classes = arrow_map(owners, lambda it: _classes(it, limit), "local long, keep_id long, group_size long")
+    seen = seen.where("bytes is null")
     return seen.select("doc_id", "sha", "local").join(classes, "local").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
