@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import mixing, token_files, url_filter, warc
+from . import language_id, mixing, quality, token_files, url_filter, warc
 from .trie_dedup import exact_owners
 
 
@@ -22,6 +22,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES)
 
@@ -30,12 +34,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_token_files": op5_token_files,
+    "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
