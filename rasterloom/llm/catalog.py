@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import language_id, mixing, quality, token_files, url_filter, warc
+from . import hyperminhash, language_id, mixing, quality, token_files, url_filter, warc
 from .trie_dedup import exact_owners
 
 
@@ -18,6 +18,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_owners(table(spark, sf_dir, "documents"))
 
 
+def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_hyperminhash": op3_hyperminhash,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
@@ -49,6 +54,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_hyperminhash": hyperminhash.ORACLE,
     "op1_warc_revisits": warc.ORACLE,
     "op2_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
