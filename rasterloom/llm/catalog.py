@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import decontaminate, hyperminhash, language_id, mixing, quality, token_files, url_filter, warc
+from . import attention_lm, decontaminate, hyperminhash, language_id, mixing, quality, token_files, url_filter, warc
 from .trie_dedup import exact_owners
 
 
@@ -22,6 +22,10 @@ def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_hyperminhash": op3_hyperminhash,
+    "op4_attention_lm": op4_attention_lm,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
