@@ -1,11 +1,62 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, token output."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, mixing to target weights, token files.
 
-STAGES: list = []
+Each stage works on all that the one before it kept and returns the columns of ``documents``; the last one
+returns what was read back from the token files.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterloom.llm import decontaminate, hyperminhash, language_id, mixing, token_files
+from rasterloom.runtime import staged, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is rejected: no letters, or a tie between languages."""
+    content = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"), 4, 2)))
+    return language_id.identify(docs, content).where("not rejected").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group. Rows without doc_id all stay."""
+    dropped = hyperminhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item or an edited copy of one."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it; documents that it doesn't take go."""
+    taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token files and returns one row per document copy, read back from them."""
+    return token_files.token_digest(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_to_weights),
+    ("token_files", write_tokens),
+]
+
+#: Compression classes, alignments and the tokenizer have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each result is written as Parquet and read by the next stage."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
