@@ -10,13 +10,22 @@ from __future__ import annotations
 import os
 import sys
 import types
+from array import array
 
 import numpy as np
 
-#: Pieces, and parts of pieces, that a worker remembers before it forgets them all; the longest worth it.
+#: Pieces that a worker remembers in each of two generations, and the longest piece worth remembering.
 PIECES, LONGEST = 500_000, 40
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write every byte as one printable character: printable ones as themselves,
+    the others as the characters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -24,52 +33,60 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.atoms = Tokenizer.from_file(path), {}, {}
+        self.library, self.known, self.old, self.letters = Tokenizer.from_file(path), {}, {}, _byte_letters()
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.merge = self.library.model.tokenize
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Pieces that start at a cut: their parts by the vocabulary's own pattern are shared between them."""
-        cut = {p: self.cut(p if p[0] == "\n" else " " + p) for p in pieces}
-        fresh = list({a for parts in cut.values() for a in parts if a not in self.atoms})
-        new = dict(zip(fresh, self._encode(fresh))) if fresh else {}
-        if len(self.atoms) + len(new) > PIECES:
-            self.atoms.clear()
-            new |= {a: b for a, b in zip(more, self._encode(more))} if (more := list({a for parts in cut.values() for a in parts if a not in new})) else {}
-        self.atoms.update(new)
-        out = {p: b"".join(map(self.atoms.__getitem__, parts)) for p, parts in cut.items()}
-        for a in fresh:
-            if len(a) > LONGEST:
-                del self.atoms[a]
-        if len(self.known) + len(out) > PIECES:
-            self.known.clear()
-        self.known.update((p, b) for p, b in out.items() if len(p) <= LONGEST)
-        return out
+        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(f"<u{array(self.code).itemsize}")
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one match of the vocabulary's pattern, by the library's merges."""
+        return array(self.code, [t.id for t in self.merge(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _remembered(self, piece: str) -> bytes:
+        got = self.known.get(piece)
+        if got is None:
+            got = self.old.get(piece)
+            if got is None:
+                got = self._fresh(piece)
+            if len(piece) <= LONGEST:
+                if len(self.known) >= PIECES:
+                    self.known, self.old = {}, self.known
+                self.known[piece] = got
+        return got
+
+    def _fresh(self, piece: str) -> bytes:
+        """Words of ASCII letters are one part, perhaps with one mark after it; others are cut."""
+        if piece.isascii():
+            if piece.isalpha():
+                return self._part(" " + piece)
+            if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+                return self._remembered(piece[:-1]) + self._part(piece[-1])
+        return b"".join(map(self._part, self.cut(piece if piece[0] == "\n" else " " + piece)))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text (null: none) as little-endian integers of ``dtype``."""
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return self._encode([text])[0]
+            return self._whole(text)
         # a piece that starts with a line feed stands as it is, any other follows the space it was cut at
         pieces = text.replace("\n", " \n").split(" ")
         first = pieces[0]
         if not first or first[-1].isspace() or first[0].isspace():
-            return self._encode([text])[0]
+            return self._whole(text)
         got = list(map(self.known.get, pieces))
-        got[0] = self._encode([first])[0]
+        got[0] = self._whole(first)
         if None in got:
             fresh = {p for p, g in zip(pieces, got) if g is None}
             # the pieces are judged by the wider of the two notions of white space
             if "" in fresh or any(p[-1].isspace() or (p[0] != "\n" and p[0].isspace()) or p[1:2].isspace() for p in fresh):
-                return self._encode([text])[0]
-            new = self._pieces(list(fresh))
-            got = [new[p] if g is None else g for p, g in zip(pieces, got)]
+                return self._whole(text)
+            got = [self._remembered(p) if g is None else g for p, g in zip(pieces, got)]
         return b"".join(got)
 
 

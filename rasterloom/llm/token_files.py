@@ -146,7 +146,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([d["doc_id"], pa.array(d["start"].to_numpy() + before), d["n_tokens"], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = manifest.select("part", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before")).repartition("part")
+    parts = manifest.select("part", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
+    parts = parts.repartition(max(1, manifest.count()), "part")
     return arrow_map(parts.select("path", "before"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
