@@ -575,7 +575,7 @@ def output_names(spark, sf_dir):
 
 @query("doc_id long, size string, caption string", """WITH d AS (SELECT doc_id, n_chars * n_chars AS n, CASE doc_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'error' WHEN 3 THEN 'cancelled' ELSE 'complete' END AS s FROM documents),
 u AS (SELECT *, n / 1024.0::DOUBLE AS k, CASE WHEN n / 1024.0::DOUBLE < 1024 THEN 0 WHEN n / 1024.0::DOUBLE < 1048576 THEN 1 ELSE 2 END AS p FROM d), z AS (SELECT *, k / pow(1024, p) AS z FROM u)
-SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE printf(CASE WHEN z >= 10 THEN '%.1f' ELSE '%.2f' END, z) || ' ' || ['KB', 'MB', 'GB'][p + 1] END AS size,
+SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE CASE WHEN z >= 10 THEN printf('%.1f', floor(z * 10 + 0.5::DOUBLE) / 10) ELSE printf('%.2f', floor(z * 100 + 0.5::DOUBLE) / 100) END || ' ' || ['KB', 'MB', 'GB'][p + 1] END AS size,
  CASE s WHEN 'queued' THEN 'Czeka w kolejce' WHEN 'processing' THEN 'Odczytuję obraz' WHEN 'error' THEN 'Nie udało się skompresować' WHEN 'cancelled' THEN 'Anulowano' ELSE 'Gotowe' END AS caption FROM z""")
 def human_sizes(spark, sf_dir):
     d = table(spark, sf_dir, "documents", "doc_id", "n_chars")
