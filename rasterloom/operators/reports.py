@@ -75,6 +75,7 @@ def zip_outputs(rows: DataFrame, path: str) -> int:
     return n
 
 
+#: Captions of statuses and stages.
 STATUS = {"queued": "Czeka w kolejce", "error": "Nie udało się skompresować", "cancelled": "Anulowano", "complete": "Gotowe"}
 STAGE = {"decoding": "Odczytuję obraz", "analyzing": "Analizuję zawartość", "compressing": "Kompresuję", "finalizing": "Kończę"}
 

@@ -12,7 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED = "rasterloom.shipped"
+_SHIPPED: set[str] = set()
+_STAGED: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -34,12 +35,12 @@ def _package_zip() -> bytes:
 def ship(spark: SparkSession) -> None:
     """Serve this package to the executors once per application."""
     sc = spark.sparkContext
-    if sc.getLocalProperty(_SHIPPED):
+    if sc.applicationId in _SHIPPED:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="rasterloom-"), "rasterloom_pkg.zip")
     Path(path).write_bytes(_package_zip())
     sc.addPyFile(path)
-    sc.setLocalProperty(_SHIPPED, "1")
+    _SHIPPED.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,9 +53,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/rasterloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this process has staged; call it once the results that read it are written."""
+    jvm = spark.sparkContext._jvm
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow after making this package importable on the executors."""
     ship(df.sparkSession)
