@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Pieces that a worker remembers in each of two generations, and the longest piece worth remembering.
-PIECES, LONGEST = 500_000, 40
+PIECES, LONGEST = 400_000, 40
 
 
 def _byte_letters() -> dict[int, str]:

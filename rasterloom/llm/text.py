@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -13,18 +12,14 @@ from pyspark.sql import functions as F
 #: ASCII white space separates words; every other character belongs to one.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
-_words = re.compile(WORD).findall
-#: Upper-case ASCII only: str.lower() would also change other letters.
-_LOWER = {c: c + 32 for c in range(65, 91)}
-#: Words remembered by a worker before the memory is emptied.
-WORD_MEMORY = 400_000
+#: Words remembered by a worker; further ones are hashed each time.
+WORD_MEMORY = 300_000
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-cased (A-Z) words of ``text``; none for null."""
-    if not text:
-        return []
-    return _words(text.lower() if text.isascii() else text.translate(_LOWER))
+def words(text: str | None) -> list[bytes]:
+    """Lower-cased (A-Z) words of ``text`` in UTF-8; none for null. Bytes know ASCII white space and ASCII
+    letters only, which is what a word is cut at and what is lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 def lower_ascii(c: Column) -> Column:
@@ -41,8 +36,8 @@ def held_out_py(doc_id: int | None, modulus: int, remainder: int) -> bool:
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes | str) -> int:
+        h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         if len(self) < WORD_MEMORY:
             self[word] = h
         return h
@@ -61,7 +56,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(ws: list[str]) -> np.ndarray:
+def word_hashes(ws: list[bytes] | list[str]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
 
 
