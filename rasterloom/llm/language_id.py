@@ -34,9 +34,9 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     usable = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang", "text")
     chosen = bounded_sample(usable.select("doc_id", "lang"), "lang", DOCS)
     out: dict[str, list[str]] = {}
-    for r in fetch_texts(usable, chosen, CHARS, letters(F.col("text"))):
-        if r.text:
-            out.setdefault(r.lang, []).append(r.text)
+    for r, text in fetch_texts(usable, chosen, CHARS, letters(F.col("text"))):
+        if text:
+            out.setdefault(r.lang, []).append(text)
     return {lang: "\n".join(texts).encode() for lang, texts in sorted(out.items())}
 
 

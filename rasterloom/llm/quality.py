@@ -182,10 +182,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     chosen = bounded_sample(rows, "quality", DOCS)
     got = fetch_texts(docs, chosen, CHARS)
-    if len({r.quality for r in got}) < 2:
+    if len({r.quality for r, _ in got}) < 2:
         return None
-    model = train([r.text for r in got], [r.quality for r in got])
-    sample = np.mean([r.quality for r in got])
+    model = train([text for _, text in got], [r.quality for r, _ in got])
+    sample = np.mean([r.quality for r, _ in got])
     true = shares[1] / sum(shares.values())
     model.b2 = model.b2 + np.float32(model.temperature * (np.log(true / (1 - true)) - np.log(sample / (1 - sample))))
     return model

@@ -15,6 +15,10 @@ def bounded_sample(rows: DataFrame, by: str, per_class: int, key: str = "doc_id"
 
 
 def fetch_texts(docs: DataFrame, chosen: DataFrame, longest: int, text: Column | None = None) -> list:
-    """Collect (label columns..., key, text[:longest]) of a bounded choice; ordered by key for equal fits."""
-    picked = docs.select("doc_id", F.substring(F.coalesce(F.col("text") if text is None else text, F.lit("")), 1, longest).alias("text"))
-    return sorted(picked.join(chosen, "doc_id").collect(), key=lambda r: (r.doc_id, r.text))
+    """Collect (label columns..., key, text[:longest]) of a bounded choice; ordered by key for equal fits.
+
+    The choice is collected first and its ids filter the scan, so no text is shuffled."""
+    labels = {r.doc_id: r for r in chosen.collect()}
+    picked = docs.where(F.col("doc_id").isin(list(labels))) if labels else docs.limit(0)
+    texts = picked.select("doc_id", F.substring(F.coalesce(F.col("text") if text is None else text, F.lit("")), 1, longest).alias("text"))
+    return sorted(((labels[r.doc_id], r.text) for r in texts.collect()), key=lambda x: (x[0].doc_id, x[1]))
