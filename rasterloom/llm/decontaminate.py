@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare word n-grams of the test items seed candidate windows in the training
+"""Benchmark decontamination: word n-grams of the test items seed candidate windows in the training
 documents, and Smith-Waterman alignment scores each window, so edited and paraphrased copies are found.
 
 The items are a stated query set. They are taken in blocks of bounded size, each block is sent to all tasks
-and all documents are read against it. A first pass counts in how many documents each n-gram of the block
-occurs, a second one aligns where an item's rarer n-grams occur. Nothing is shuffled but counts.
+and all documents are read against it. Every n-gram of an item is a seed, however many documents hold it:
+an edited copy may have kept only popular ones. Windows that hold too few of the item's words to reach LEAST
+are not aligned; for all others the alignment decides. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -71,7 +72,8 @@ class Block:
         self.grams, which = np.unique(flat, return_inverse=True)
         owner, place = np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams]) if grams else flat
         order = np.argsort(which, kind="stable")
-        self.owner, self.place, self.which = owner[order], place[order].astype(np.int64), which[order]
+        self.owner, self.place = owner[order], place[order].astype(np.int64)
+        self.first = np.searchsorted(which[order], np.arange(len(self.grams) + 1))
         self.bits = np.zeros(1 << BITS, bool)
         self.bits[self.grams & np.uint64((1 << BITS) - 1)] = True
         self.short = {len(w) for w in self.words if len(w) < SEED}
@@ -91,16 +93,6 @@ class Block:
                 no.append(k[hit])
         return (np.concatenate(at), np.concatenate(no)) if at else (np.empty(0, np.int64),) * 2
 
-    def rare(self, df: np.ndarray) -> None:
-        """Keep an item's n-grams whose document count is at most the item's median: half of them or more."""
-        counts, keep = df[self.which], np.zeros(len(self.which), bool)
-        order = np.argsort(self.owner, kind="stable")
-        for run in np.split(order, np.flatnonzero(np.diff(self.owner[order])) + 1):
-            if len(run):
-                keep[run] = counts[run] <= np.median(counts[run])
-        self.owner, self.place, self.which = self.owner[keep], self.place[keep], self.which[keep]
-        self.first = np.searchsorted(self.which, np.arange(len(self.grams) + 1))
-
     def hits(self, text: str | None) -> list[tuple]:
         """(item, score, start, end) of every item whose best alignment reaches LEAST; positions in words."""
         h = word_hashes(plain_words(text))
@@ -117,13 +109,17 @@ class Block:
             if not len(run):
                 continue
             item = self.words[owner[run[0]]]
-            slack = max(4, len(item) // 4)
+            # a copy that reaches LEAST has at most 2 * (1 - LEAST) words added for each of the item's
+            size = len(item)
             best = (0.0, 0, 0)
             # starts that lie within an item's length form one window
-            for part in np.split(begin[run], np.flatnonzero(np.diff(begin[run]) > slack) + 1):
-                lo, hi = max(0, int(part[0]) - slack), min(len(h), int(part[-1]) + len(item) + slack)
+            for part in np.split(begin[run], np.flatnonzero(np.diff(begin[run]) > size) + 1):
+                lo, hi = max(0, int(part[0]) - size), min(len(h), int(part[-1]) + 2 * size)
+                # no alignment scores more than the item's words that the window has
+                if MATCH * np.isin(item, h[lo:hi]).sum() < LEAST * MATCH * size:
+                    continue
                 score, s, e = align(item, h[lo:hi])
-                best = max(best, (score / (MATCH * len(item)), lo + s, lo + e))
+                best = max(best, (score / (MATCH * size), lo + s, lo + e))
             if best[0] >= LEAST:
                 out.append((self.ids[owner[run[0]]], *best))
         return out
@@ -147,32 +143,11 @@ def blocks(items: DataFrame) -> Iterator[Block]:
         yield Block(ids, seqs)
 
 
-def with_counts(docs: DataFrame, block: Block) -> Block:
-    """Counts the documents of each n-gram over all of ``docs`` and keeps the rarer half of every item."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(block.grams), np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                _, no = block.found(word_hashes(plain_words(text.as_py())))
-                df[np.unique(no)] += 1
-        used = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"gram": used.astype(np.int64), "df": df[used]})
-
-    total = np.zeros(len(block.grams), np.int64)
-    # one row for each n-gram of the block, which is bounded
-    for r in arrow_map(docs.select("text"), count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
-        total[r.gram] = r.df
-    block.rare(total)
-    return block
-
-
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) for every document and item that align well; score is
     the share of a perfect alignment. Null and empty texts give none. Repeated rows are reported each."""
     found = None
     for block in blocks(items):
-        block = with_counts(docs, block)
 
         def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -191,7 +166,6 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that no item contaminates."""
     for block in blocks(items):
-        block = with_counts(docs, block)
 
         def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:

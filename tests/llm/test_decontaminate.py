@@ -69,3 +69,40 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert dc.contaminated(d, b).collect() == [] and dc.clean(d, b).count() == 1
     assert dc.contaminated(d.limit(0), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("share", [0.15, 0.3])
+@pytest.mark.parametrize("exact", [0, 3])
+def test_finds_edited_copies_alone_and_beside_exact_ones(spark, share, exact):
+    rng = random.Random(int(share * 100))
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(40))) for i in range(8)]
+    docs = []
+    for i, text in items:
+        copy = text.split()
+        for at in rng.sample(range(len(copy)), int(share * len(copy))):
+            copy[at] = f"new{rng.getrandbits(40)}"
+        docs.append((i, " ".join([f"a{k}" for k in range(15)] + copy + [f"z{k}" for k in range(15)])))
+    docs += [(100 + n * 100 + i, text) for n in range(exact) for i, text in items]
+    want = {}
+    for d, t in docs:
+        i, b = d % 100, dc.plain_words(t)
+        a = dc.plain_words(items[i][1])
+        s = slow_score(a, b) / len(a)
+        # an alignment without any run of SEED words of the item has no seed
+        if s >= dc.LEAST and {tuple(a[k : k + dc.SEED]) for k in range(len(a) - 2)} & {tuple(b[k : k + dc.SEED]) for k in range(len(b) - 2)}:
+            want[d, i] = s
+    assert sum(d < 100 for d, _ in want) == len(items)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in dc.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
+def test_popular_half_and_scattered_additions():
+    item = [f"w{k}" for k in range(20)]
+    block = dc.Block([7], [dc.word_hashes(item)])
+    # the kept half may be the popular one
+    assert [h[:2] for h in block.hits(" ".join(["x"] * 9 + item[:10] + ["y"] * 9))] == [(7, 0.5)]
+    # one run is whole, a word is added after each other word
+    spread = [x for w in item[:17] for x in (w, "more")] + item[17:]
+    for words in (spread, ["x"] * 60 + spread + ["y"] * 60):
+        assert [h[1] for h in block.hits(" ".join(words))] == [slow_score(item, words) / 20]
