@@ -315,6 +315,21 @@ def palette_index_plane(spark, sf_dir):
     return palette.indexed(px, palette.exact_palette(px, "doc_id"), "doc_id")
 
 
+_WHOLE = f"""{DOC_PX}, k AS (SELECT doc_id, i, CASE WHEN a = 0 THEN 0 ELSE v END AS color FROM px), f AS (SELECT doc_id, color, min(i) AS first, count(*) AS pixels FROM k GROUP BY ALL),
+o AS (SELECT doc_id, color, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS idx, pixels FROM f QUALIFY count(*) OVER (PARTITION BY doc_id) <= {palette.ENTRIES})"""
+
+
+@query("doc_id long, color long, idx int, pixels long", f"WITH {_WHOLE} SELECT * FROM o")
+def exact_palette_whole(spark, sf_dir):
+    return palette.exact_palette(doc_pixels(spark, sf_dir), "doc_id")
+
+
+@query("doc_id long, i int, idx int", f"WITH {_WHOLE} SELECT k.doc_id, i, idx FROM k JOIN o USING (doc_id, color)")
+def palette_index_plane_whole(spark, sf_dir):
+    px = doc_pixels(spark, sf_dir)
+    return palette.indexed(px, palette.exact_palette(px, "doc_id"), "doc_id")
+
+
 _CENTERS = "c AS (SELECT label, [" + ", ".join(f"avg(embedding[{i}]::DOUBLE)" for i in range(1, 9)) + "] AS p FROM embeddings GROUP BY label)"
 _NEAREST = f"""{_CENTERS}, d AS (SELECT vec_id, embedding, e.label AS own, c.label, round(list_sum(list_transform(range(1, 9), lambda i: pow(embedding[i]::DOUBLE - p[i], 2))), 6) AS d FROM embeddings e, c),
 b AS (SELECT vec_id, any_value(own) AS own, any_value(embedding) AS embedding, min_by(label, (d, label)) AS label, min(d) AS d FROM d GROUP BY vec_id)"""
