@@ -51,28 +51,36 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     rows = rows.select(
         "*",
         rule_for(F.col("host"), F.col("path"), rules).alias("r"),
-        F.regexp_extract(shape, "^/?([^/]*)", 1).alias("s1"),
-        F.regexp_extract(shape, "^/?[^/]*/([^/]*)", 1).alias("s2"),
-        F.regexp_extract(shape, "(?s)^/?[^/]*/[^/]*/(.*)$", 1).alias("s3"),
-    ).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("by_rule"), "s1", "s2", "s3")
+        F.regexp_replace(shape, "^/", "").alias("leaf"),
+    ).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("by_rule"), "leaf")
+    # segments that a short path lacks are empty up to the third
+    rows = rows.withColumn("leaf", F.concat("leaf", F.repeat(F.lit("/"), F.greatest(F.lit(0), 3 - F.size(F.split("leaf", "/", -1))))))
     rows = staged(rows, "urls")
-    leaf = ["host", "s1", "s2", "s3"]
+    leaf = ["host", "leaf"]
     tree = staged(
         rows.groupBy(*leaf).agg(F.count("*").alias("n"), F.count("by_rule").alias("lab"), F.count_if(F.col("by_rule") == "block").alias("bad")), "leaves"
-    )
+    ).withColumns({"segments": F.split("leaf", "/", -1), "template": F.col("host")})
     sums = [F.sum(c).alias(c) for c in ("n", "lab", "bad")]
-    known = ["host"]
-    for i in (1, 2, 3):
-        kids = tree.groupBy(*known, f"s{i}").agg(*sums)
-        top = kids.groupBy(*known).agg(F.count("*").alias("kids"), *[F.sum(c).alias(f"p_{c}") for c in ("n", "lab", "bad")])
+    known, ended, i = ["host", "template"], None, 0
+    while True:
+        i += 1
+        tree = tree.withColumn("s", F.element_at("segments", i))
+        kids = tree.groupBy("template", "s").agg(*sums)
+        top = kids.groupBy("template").agg(F.count("*").alias("kids"), *[F.sum(c).alias(f"p_{c}") for c in ("n", "lab", "bad")])
         p = (F.col("p_bad") + 0.5) / (F.col("p_lab") + 1.0)
         small = (F.col("kids") > MOST_CHILDREN) & (F.col("n") * MOST_CHILDREN < F.col("p_n"))
         z = F.abs(F.col("bad") / F.col("lab") - p) / F.sqrt(p * (1.0 - p) / F.col("lab"))
         alike = (F.col("lab") == 0) | (z < SIMILAR_Z)
-        named = kids.join(top, known).select(*known, f"s{i}", F.when(small | alike, "*").otherwise(F.col(f"s{i}")).alias(f"t{i}"))
-        tree = tree.join(named, [*known, f"s{i}"])
-        known.append(f"t{i}")
-    tree = staged(tree, "templates")
+        named = kids.join(top, "template").select("template", "s", F.when(small | alike, "*").otherwise(F.col("s")).alias("t"))
+        tree = tree.join(named, ["template", "s"]).withColumn("template", F.concat_ws("/", "template", "t")).drop("s", "t")
+        if i >= 3:
+            tree = staged(tree, "templates")
+            done = tree.where(F.size("segments") <= i)
+            ended = done if ended is None else ended.union(done)
+            tree = tree.where(F.size("segments") > i)
+            if not tree.limit(1).count():
+                break
+    tree = ended
     every = tree.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"g_{c}") for c in ("lab", "bad")])
     hosts = tree.groupBy("host").agg(*[F.sum(c).alias(f"h_{c}") for c in ("lab", "bad")])
     prior = (F.col("h_bad") + PRIOR * (F.col("g_bad") + 1.0) / (F.col("g_lab") + 2.0)) / (F.col("h_lab") + PRIOR)
@@ -80,7 +88,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     judged = tree.groupBy(*known).agg(F.sum("lab").alias("t_lab"), F.sum("bad").alias("t_bad")).join(hosts, "host")
     purity = (F.col("t_bad") + PRIOR * F.col("prior")) / (F.col("t_lab") + PRIOR)
     judged = judged.select(*known, purity.alias("purity"))
-    by_leaf = tree.join(judged, known).select(*leaf, F.concat_ws("/", *known).alias("template"), "purity")
+    by_leaf = tree.join(judged, known).select(*leaf, "template", "purity")
     verdict = F.coalesce("by_rule", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
     return rows.join(by_leaf, leaf).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 

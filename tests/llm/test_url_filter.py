@@ -35,3 +35,18 @@ def test_impure_branch_is_rejected_and_clean_one_is_not(spark):
 
 def test_empty(spark):
     assert judge(rows_of(spark, []).limit(0), RULES).collect() == []
+
+
+def test_templates_go_below_the_third_segment(spark):
+    """A slug at the third segment; the fourth and fifth tell good from bad."""
+    rules = [("block", "h", f"/a/b/s{chr(97 + k)}/x/bad") for k in range(20)] + [("allow", "h", f"/a/b/s{chr(97 + k)}/x/good") for k in range(20)]
+    urls = [f"http://h/a/b/s{chr(97 + k)}/x/{end}" for k in range(20) for end in ("good", "bad")]
+    urls += ["http://h/a/b/other/x/bad", "http://h/a/b/other/x/good", "http://h/a/b/alone"]
+    from rasterloom.llm.url_filter import judge
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: (r.verdict, r.template.split("/")[4:]) for r in judge(df, rules).collect()}
+    assert len(got) == len(urls)
+    assert got["http://h/a/b/other/x/bad"] == ("block", ["*", "bad"])
+    assert got["http://h/a/b/other/x/good"] == ("allow", ["*", "good"])
+    assert got["http://h/a/b/alone"][1] == []
