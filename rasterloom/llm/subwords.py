@@ -90,14 +90,42 @@ class Encoder:
         return b"".join(got)
 
 
-def encoder(path: str) -> Encoder:
+class Ranked:
+    """Ids by a file of ranks; it remembers no pieces, so its memory doesn't grow."""
+
+    def __init__(self, path: str):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
+        self.code = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.size = max(ranks.values()) + 1
+        # room for the end and for no id
+        self.dtype = np.dtype("<u2" if self.size + 2 <= 1 << 16 else "<u4")
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of the whole text."""
+        return np.array(self.code(text), self.dtype)
+
+
+def _kept(path: str, make):
     """One encoder per worker process and file, kept between tasks."""
     kept = sys.modules.setdefault("_rasterloom_encoders", types.ModuleType("_rasterloom_encoders"))
     if path not in kept.__dict__:
-        kept.__dict__[path] = Encoder(path)
+        kept.__dict__[path] = make(path)
     return kept.__dict__[path]
 
 
+def encoder(path: str) -> Encoder:
+    return _kept(path, Encoder)
+
+
+def ranked(path: str) -> Ranked:
+    return _kept(path, Ranked)
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
