@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,3 +70,69 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = mix(out + h[i : len(h) - n + 1 + i] * _ODD[i % 8] + np.uint64(i + 1))
     return out
+
+
+#: Words of at least so many bytes are hashed one by one, others in runs of so many bytes of text.
+LONG, RUN = 64, 1 << 15
+_ROOT = 0xD1342543DE82EF95
+
+
+def _powers(root: int) -> np.ndarray:
+    out = np.full(RUN + LONG, root, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Bytes:
+    """Tables of the byte-wise word hash, made when first needed."""
+
+    def __init__(self):
+        self.up, self.down = _powers(_ROOT), _powers(pow(_ROOT, -1, 1 << 64))
+        self.letter = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
+        self.letter[65:91] = self.letter[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.letter[self.space] = 0
+
+
+_bytes: _Bytes | None = None
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all ``texts``, lower-cased (A-Z), and where each text's begin: text ``i``
+    has the words ``offsets[i]`` to ``offsets[i + 1]``; a null text has none.
+
+    A word's hash is a polynomial of its bytes' numbers, taken from running sums over the whole buffer, so no
+    word becomes an object; long words are hashed one by one."""
+    global _bytes
+    _bytes = t = _bytes or _Bytes()
+    texts = texts.fill_null("") if texts.null_count else texts
+    wide = texts.type in (pa.large_string(), pa.large_binary())
+    _, places, data = texts.buffers()
+    at = np.frombuffer(places, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.empty(0, np.uint8)
+    at -= at[0]
+    # a place is in a word if its byte is; words end at white space and at the end of their text
+    inside = np.concatenate((~t.space.take(raw), [False]))
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    cut = at[:-1][at[:-1] < len(raw)]
+    begins[cut] = inside[cut]
+    start = np.flatnonzero(begins)
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | begins[1:]
+    end = np.flatnonzero(ends) + 1
+    h = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = int(np.searchsorted(start, start[i] + RUN))
+        base = start[i]
+        run = raw[base : min(end[j - 1], start[j - 1] + LONG)]
+        sums = np.zeros(len(run) + 1, np.uint64)
+        np.cumsum(t.letter.take(run) * t.up[: len(run)], out=sums[1:])
+        to = np.minimum(end[i:j], start[i:j] + LONG) - base
+        h[i:j] = (sums.take(to) - sums.take(start[i:j] - base)) * t.down.take(start[i:j] - base)
+        i = j
+    for k in np.flatnonzero(end - start >= LONG):
+        h[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]].tobytes().lower())
+    return mix(h), np.searchsorted(start, at)
