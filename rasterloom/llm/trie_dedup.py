@@ -1,13 +1,12 @@
-"""Exact duplicates by Patricia tries: partitions of (length, content hash) hold compressed radix tries of
-the full byte strings, and each terminal node stores the smallest identifier.
+"""Exact duplicates by Patricia tries: partitions by length class and bits of the content hash hold compressed
+radix tries of the full byte strings, and each terminal node stores the smallest identifier.
 
 Two levels keep hot texts apart: every input partition first inserts its own rows, so that a text copied a
-billion times leaves one row per input partition, and only those rows meet in the second trie.
+billion times leaves one row per input partition, and only those rows meet in the second tries.
 """
 
 from __future__ import annotations
 
-import os
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
@@ -19,8 +18,11 @@ from pyspark.sql import functions as F
 from ..runtime import arrow_map, staged
 from .text import SPACES
 
-#: Label bytes that a trie keeps in memory before it spills its largest subtree.
-SPILL_BYTES = 64 << 20
+#: Memory that a task's tries may take, by their own count, before the largest subtree is spilled; and what a
+#: node counts for besides its label.
+SPILL_BYTES, NODE = 64 << 20, 500
+#: Strings that a trie of the second level holds on average, by its bits of the content hash.
+STRINGS = 4096
 
 
 class _Node:
@@ -30,16 +32,25 @@ class _Node:
         self.label, self.children, self.value, self.file = label, {}, value, None
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
 class PatriciaTrie:
     """Compressed radix trie over byte strings; ``merge(old, new)`` combines the values of equal keys.
 
-    Beyond ``limit`` label bytes, the largest subtree below the topmost fork moves to a temporary file of the
-    task. Later keys of that subtree are appended to the file, and each subtree is rebuilt alone when the
+    Beyond ``limit`` bytes of labels and nodes, the largest subtree below the topmost fork moves to a temporary
+    file of the task. Later keys of that subtree are appended to the file, and each subtree is rebuilt alone when the
     trie is read, spilling again at deeper forks if it must.
     """
 
     def __init__(self, merge: Callable, limit: int = SPILL_BYTES):
-        self.merge, self.limit, self.root, self.bytes, self.spills = merge, limit, _Node(b""), 0, 0
+        self.merge, self.limit, self.root, self.bytes, self.spills, self.forks = merge, limit, _Node(b""), 0, 0, 0
 
     def insert(self, key: bytes, value):
         """Returns what the key's terminal now holds; None if it went to a file."""
@@ -54,11 +65,12 @@ class PatriciaTrie:
             child = node.children.get(key[at])
             if child is None:
                 node.children[key[at]] = _Node(key[at:], value)
-                self.bytes += len(key) - at
+                self.bytes += len(key) - at + NODE
                 break
             label = child.label
             if not key.startswith(label, at):
-                k = len(os.path.commonprefix([label, key[at : at + len(label)]]))
+                k = _common(label, key[at : at + len(label)])
+                self.bytes, self.forks = self.bytes + NODE, self.forks + 1
                 fork = _Node(label[:k])
                 child.label = label[k:]
                 fork.children[child.label[0]] = child
@@ -83,7 +95,7 @@ class PatriciaTrie:
         total, stack = 0, [node]
         while stack:
             node = stack.pop()
-            total += len(node.label)
+            total += len(node.label) + NODE
             stack += node.children.values()
         return total
 
@@ -125,6 +137,7 @@ class PatriciaTrie:
                     break
             node.file.close()
             yield from sub.items()
+            self.spills, self.forks = self.spills + sub.spills, self.forks + sub.forks
 
 
 def _least(a: int | None, b: int | None) -> int | None:
@@ -132,32 +145,32 @@ def _least(a: int | None, b: int | None) -> int | None:
 
 
 def _owners(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """First level: one trie per (length, hash) seen in this input partition, whose terminals hold the local
-    class, the smallest id and the number of rows. Every row leaves with the key of its local class; classes
-    leave with their text at the end. Past ``limit`` text bytes they leave at once and the tries start anew,
-    which only makes more local classes."""
+    """First level: tries by length class and hash bits of this input partition, whose terminals hold the local
+    class, the hash, the smallest id and the number of rows. Every row leaves with the key of its local class;
+    classes leave with their text at the end. Past ``limit`` they leave at once and the tries start anew, which
+    only makes more local classes."""
     from pyspark import TaskContext
 
-    part, serial, tries, held = TaskContext.get().partitionId(), 0, {}, 0
+    part, serial, tries = TaskContext.get().partitionId(), 0, {}
 
     def merge(a, b):
-        return (a[0], _least(a[1], b[1]), a[2] + b[2])
+        return (a[0], a[1], _least(a[2], b[2]), a[3] + b[3])
 
     for batch in batches:
-        local = []
+        local, held = [], sum(t.bytes for t in tries.values())
         for doc_id, sha, text in zip(batch["doc_id"].to_pylist(), batch["sha"].to_pylist(), batch["norm"].cast(pa.binary()).to_pylist()):
-            trie = tries.get((len(text), sha))
-            if trie is None:  # never spills by itself: the sum of all tries is bounded below
-                trie = tries[len(text), sha] = PatriciaTrie(merge, float("inf"))
-            own = trie.insert(text, ((part << 33) + serial, doc_id, 1))[0]
-            if own == (part << 33) + serial:
-                serial += 1
-                held += len(text)
+            trie = tries.get((len(text).bit_length(), sha[0] >> 4))
+            if trie is None:  # never spills by itself: the sum of all tries is bounded here
+                trie = tries[len(text).bit_length(), sha[0] >> 4] = PatriciaTrie(merge, float("inf"))
+            held -= trie.bytes
+            own = trie.insert(text, ((part << 33) + serial, sha, doc_id, 1))[0]
+            held += trie.bytes
+            serial += own == (part << 33) + serial
             local.append(own)
+            if held > limit:
+                yield from _leaving(tries)
+                tries, held = {}, 0
         yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "sha": batch["sha"], "local": local, "bytes": pa.nulls(len(local), pa.binary()), "count": pa.nulls(len(local), pa.int64())}, _ROWS)
-        if held > limit:
-            yield from _leaving(tries)
-            tries, held = {}, 0
     yield from _leaving(tries)
 
 
@@ -167,8 +180,8 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("local", pa.in
 def _leaving(tries: dict) -> Iterator[pa.RecordBatch]:
     """Rows of the local classes, a few MB of text at a time; here doc_id is the smallest of the class."""
     rows, size = [], 0
-    for (_, sha), trie in tries.items():
-        for text, (local, least, count) in trie.items():
+    for trie in tries.values():
+        for text, (local, sha, least, count) in trie.items():
             rows.append((least, sha, local, text, count))
             size += len(text)
             if size > 4 << 20 or len(rows) >= 10_000:
@@ -178,59 +191,62 @@ def _leaving(tries: dict) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
 
 
-def _classes(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Second level: rows come sorted by (length, hash); each run is one trie whose terminals gather the
-    smallest id, the number of rows and the local classes."""
-    import numpy as np
+def _classes(batches: Iterator[pa.RecordBatch], limit: int, forks=None, spills=None) -> Iterator[pa.RecordBatch]:
+    """Second level: rows come sorted by (length class, hash bits); each run is one trie whose terminals gather
+    the smallest id, the number of rows and the local classes. The accumulators take what the tries did."""
 
     def merge(a, b):
         a[2].extend(b[2])
         return (_least(a[0], b[0]), a[1] + b[1], a[2])
 
     def closed(trie):
-        out = [v for _, v in trie.items()]
-        n = [len(v[2]) for v in out]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([x for v in out for x in v[2]], pa.int64()),
-                pa.array([v[0] for v in out], pa.int64()).take(pa.array(np.repeat(np.arange(len(out)), n))),
-                pa.array(np.repeat(np.array([v[1] for v in out], np.int64), n)),
-            ],
-            names=["local", "keep_id", "group_size"],
-        )
+        rows = []
+        for _, (least, count, locals_) in trie.items():
+            rows += [(x, least, count) for x in locals_]
+            if len(rows) >= 10_000:
+                yield rows
+                rows = []
+        yield rows
+        if forks is not None:
+            forks.add(trie.forks)
+            spills.add(trie.spills)
+
+    def leaving(trie):
+        for rows in closed(trie):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["local", "keep_id", "group_size"])
 
     trie, key = None, None
-    ready = []
     for batch in batches:
-        for n, sha, text, local, least, count in zip(*(batch[c].to_pylist() for c in ("n", "sha", "bytes", "local", "least", "count"))):
-            if (n, sha) != key:
+        for run, text, local, least, count in zip(zip(batch["n"].to_pylist(), batch["h"].to_pylist()), *(batch[c].to_pylist() for c in ("bytes", "local", "least", "count"))):
+            if run != key:
                 if trie:
-                    ready.append(closed(trie))
-                    if len(ready) >= 1000:
-                        yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
-                        ready = []
-                trie, key = PatriciaTrie(merge, limit), (n, sha)
+                    yield from leaving(trie)
+                trie, key = PatriciaTrie(merge, limit), run
             trie.insert(text, (least, count, [local]))
     if trie:
-        ready.append(closed(trie))
-    if ready:
-        yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+        yield from leaving(trie)
 
 
-def exact_owners(docs: DataFrame, limit: int = SPILL_BYTES) -> DataFrame:
+def exact_owners(docs: DataFrame, limit: int = SPILL_BYTES, strings: int = STRINGS, forks=None, spills=None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs`` (doc_id, text, ...).
 
     Texts are equal when identical after replacing each run of ASCII white space by one space. A null text
     counts as empty, and empty texts are equal to each other. The smallest doc_id of a group stays; a null
     doc_id is larger than all others and stays only in a group that has no other. Repeated rows of one
-    doc_id count in group_size and share their fate. Other columns are ignored; an empty table gives none.
+    doc_id count in group_size and share their fate. Very long texts are inserted whole. Other columns,
+    whatever their names, are ignored; an empty table gives none. A trie of the second level holds about
+    ``strings`` texts; the accumulators ``forks`` and ``spills`` tell what its tries did.
     """
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " ")
     rows = docs.select(F.col("doc_id").cast("long"), norm.alias("norm")).withColumn("sha", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
     seen = staged(arrow_map(rows, lambda it: _owners(it, limit), "doc_id long, sha binary, local long, bytes binary, count long"), "trie")
-    owners = seen.where("bytes is not null").select(F.length("bytes").alias("n"), "sha", "bytes", "local", F.col("doc_id").alias("least"), "count")
-    owners = owners.repartition("n", "sha").sortWithinPartitions("n", "sha")
-    classes = arrow_map(owners, lambda it: _classes(it, limit), "local long, keep_id long, group_size long")
+    owners = seen.where("bytes is not null")
+    bits = 1 << max(0, -(-owners.count() // strings) - 1).bit_length()
+    length = F.length(F.bin(F.length("bytes")))  # the class of its highest bit
+    head = F.conv(F.substring(F.hex("sha"), 1, 8), 16, 10).cast("long") % bits
+    owners = owners.select(length.alias("n"), head.alias("h"), "bytes", "local", F.col("doc_id").alias("least"), "count")
+    owners = owners.repartition("n", "h").sortWithinPartitions("n", "h")
+    classes = arrow_map(owners, lambda it: _classes(it, limit, forks, spills), "local long, keep_id long, group_size long")
     seen = seen.where("bytes is null")
     return seen.select("doc_id", "sha", "local").join(classes, "local").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
