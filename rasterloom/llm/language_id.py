@@ -14,8 +14,9 @@ from ..runtime import arrow_map
 from .sampling import bounded_sample, fetch_texts
 from .text import held_out
 
-#: Bound of the training sample: documents of each language and characters of each document.
-DOCS, CHARS = 192, 1500
+#: Bound of the training sample: documents of each language, and bytes of their letters together. Documents
+#: are taken whole.
+DOCS, BYTES = 192, 400_000
 #: Bytes of text that are compressed at a time; sizes of the pieces are added.
 PIECE = 16_384
 #: Weight of one byte of margin in the score, and the score below which a prediction is rejected.
@@ -30,13 +31,13 @@ def letters(text):
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary content for each non-null language of ``docs`` (doc_id, text, lang); languages of the
-    caller's labels are assumed to be few, and each holds at most DOCS * CHARS characters."""
+    caller's labels are assumed to be few, and each holds at most DOCS documents and BYTES bytes."""
     usable = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang", "text")
     chosen = bounded_sample(usable.select("doc_id", "lang"), "lang", DOCS)
     out: dict[str, list[str]] = {}
-    for r, text in fetch_texts(usable, chosen, CHARS, letters(F.col("text"))):
+    for lang, _, text in fetch_texts(usable, chosen, BYTES, letters(F.col("text"))):
         if text:
-            out.setdefault(r.lang, []).append(text)
+            out.setdefault(lang, []).append(text)
     return {lang: "\n".join(texts).encode() for lang, texts in sorted(out.items())}
 
 
@@ -60,26 +61,33 @@ class Classifier:
 
 
 def identify(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
-    """Adds lang_pred, score (0 to 1) and rejected to docs (doc_id, text, ...); other columns stay as they
-    are. ``und`` with score 0 is given for null texts, texts without a letter and where nothing was learned."""
+    """row (all columns of docs, whatever their names), lang_pred, score (0 to 1) and rejected for every row of
+    docs (text, ...). ``und`` with score 0 is given for null texts, texts without a letter and where nothing
+    was learned. Of languages that compress a text alike, the first by name is taken, with a score of at most
+    a half, which is not rejected at a half exactly."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(content)
         for batch in batches:
-            got = [classifier.predict(t) for t in batch["_letters"].to_pylist()]
-            cols = [batch[n] for n in kept] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == UNKNOWN or g[1] < LEAST for g in got], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "lang_pred", "score", "rejected"])
+            got = [classifier.predict(t) for t in batch["letters"].to_pylist()]
+            cols = [batch["row"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == UNKNOWN or g[1] < LEAST for g in got], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "lang_pred", "score", "rejected"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return arrow_map(docs.select(*kept, letters(F.col("text")).alias("_letters")), predict, schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), letters(F.col("text")).alias("letters"))
+    return arrow_map(rows, predict, rows.select("row").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
+
+
+def kept(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language isn't rejected."""
+    return identify(docs, content).where("not rejected").select("row.*")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of docs (doc_id, text, lang, ...).
 
     Learns from documents that aren't held out (crc32 of the id modulo 4 is not 2) and have a language.
-    Repeated rows are scored alike; an empty table gives no rows."""
+    Very long texts are compressed whole, PIECE bytes at a time. Repeated rows are scored alike; other columns
+    are ignored, whatever their names; an empty table gives no rows."""
     out = held_out(F.col("doc_id"), 4, 2)
     content = fit(docs.where(~out))
-    return identify(docs.select("doc_id", "text"), content).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+    return identify(docs.select("doc_id", "text"), content).select("row.doc_id", "lang_pred", "score", "rejected").select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")

@@ -21,8 +21,8 @@ from ..runtime import arrow_map
 from .sampling import bounded_sample, fetch_texts
 from .text import held_out
 
-#: Bound of the training sample: documents of each label and characters of each document.
-DOCS, CHARS = 1500, 12_000
+#: Bound of the training sample: documents of each label, and bytes of them together. Documents are taken whole.
+DOCS, BYTES = 1500, 16_000_000
 #: Width of vectors, non-zeros of an index vector, neighbours on each side, documents a word must occur in.
 DIM, NONZERO, WINDOW, SEEN_IN = 128, 8, 2, 5
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
@@ -162,7 +162,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
 
 def quality_scores(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, score, predicted for every row of docs (doc_id, text, ...); without a model the score is 0.5."""
+    """doc_id, score, predicted for every row of docs (doc_id, text, ...); without a model the score is 0.5.
+    Very long texts are pooled whole; other columns are ignored, whatever their names."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,17 +176,19 @@ def quality_scores(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Model of a bounded sample of labelled rows: labels (doc_id, quality 0/1, ...) whose crc32 modulo 5
-    isn't 0. The sample keeps the labels' proportion below its bound. None if fewer than two labels occur."""
+    isn't 0. The labels' own proportion is restored after the fit. A document with two labels counts for both.
+    None if fewer than two labels occur."""
     rows = labels.where(~held_out(F.col("doc_id"), 5, 0) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     shares = {r.quality: r["count"] for r in rows.groupBy("quality").count().collect()}
     if len(shares) < 2:
         return None
     chosen = bounded_sample(rows, "quality", DOCS)
-    got = fetch_texts(docs, chosen, CHARS)
-    if len({r.quality for r, _ in got}) < 2:
+    got = fetch_texts(docs, chosen, BYTES)
+    labels = [label for label, _, _ in got]
+    if len(set(labels)) < 2:
         return None
-    model = train([text for _, text in got], [r.quality for r, _ in got])
-    sample = np.mean([r.quality for r, _ in got])
+    model = train([text for _, _, text in got], labels)
+    sample = np.mean(labels)
     true = shares[1] / sum(shares.values())
     model.b2 = model.b2 + np.float32(model.temperature * (np.log(true / (1 - true)) - np.log(sample / (1 - sample))))
     return model
