@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import staged
-from .text import WORD
+from .text import WORD, unused
 
 #: No document is taken more often than this, and no target is above this many times its source's size.
 MOST_COPIES = 3
@@ -38,16 +38,20 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return level.select("source", "rank", "source_size", F.least(F.col("level") * F.col("w"), F.col("cap").cast("double")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source, ...).
+def mix_sources(docs: DataFrame, seed: int = 7, row: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source, ...), and the column
+    ``row``, a number that tells rows apart, if it is named.
 
     Size is the number of words (null text: 0). A null source is a source of its own, the last. Documents
     of no words are never taken and sources of no words have target 0. Repeated rows of one doc_id are
-    separate documents. The offset comes from the seed and the source's rank, so reruns agree.
+    separate documents; rows that tie in size and doc_id are ordered by ``row``, or are alike without it. Very
+    long texts count by their words like others. Other columns are ignored, whatever their names; an empty
+    table gives none. The offset comes from the seed and the source's rank, so reruns agree.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     bits = F.bin("size")
-    narrow = docs.select(F.col("doc_id").cast("long"), "source", size.alias("size")).select(
+    number = F.lit(0).cast("long") if row is None else F.col(row)
+    narrow = docs.select(F.col("doc_id").cast("long"), "source", size.alias("size"), number.alias("row")).select(
         "*",
         F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(F.concat(bits, F.lit("000")), 1, 4)).alias("class"),
         (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int") % SALTS).alias("salt"),
@@ -63,13 +67,24 @@ def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
     targets = targets.select(F.col("source").alias("t_source"), "source_size", "target", rate.alias("rate"), offset.alias("offset"))
     cells = cells.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source", "n")
     cells = cells.select(*[F.col(c).alias(f"c_{c}") for c in cell], "before", "source_size", "target", "rate", "offset")
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("size", F.col("doc_id").asc_nulls_last()))
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("size", F.col("doc_id").asc_nulls_last(), "row"))
     ranked = narrow.withColumn("k", rank)
     # the null source can't meet itself in a plain equality
     same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class")) & (F.col("salt") == F.col("c_salt"))
     k = F.col("before") + F.col("k")
     copies = F.floor(F.col("rate") * k + F.col("offset")) - F.floor(F.col("rate") * (k - 1) + F.col("offset"))
-    return ranked.join(cells, same).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
+    return ranked.join(cells, same).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), *([] if row is None else [F.col("row").alias(row)]))
+
+
+def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes each; those that it doesn't take
+    go. Rows are numbered in a written copy, so that repeated rows and rows without doc_id meet only their own
+    copies and no key is hot."""
+    number, many = unused(docs.columns, "number"), unused(docs.columns, "many")
+    rows = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    taken = mix_sources(rows, seed, number).where("taken > 0").select(number, (F.col("taken") / F.col("size")).cast("int").alias(many))
+    copies = rows.join(taken, number).withColumn(many, F.explode(F.sequence(F.lit(1), F.col(many))))
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,15 +25,19 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def unused(columns: list[str], stem: str) -> str:
+    """A name that starts with ``stem`` and differs from those of ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id's text, modulo ``modulus``, equals ``remainder``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def held_out_py(doc_id: int | None, modulus: int, remainder: int) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus == remainder
-
-
 class _WordHashes(dict):
     def __missing__(self, word: bytes | str) -> int:
         h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))

@@ -7,7 +7,6 @@ batch ``i // rows``, so a memory map gives it without a copy. A second file list
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -77,6 +76,13 @@ class PartWriter:
             self.fs.move(f"{self.path}{ext}{self.tmp}", f"{self.path}{ext}")
 
 
+    def abort(self) -> None:
+        """Remove what an attempt that failed has written."""
+        for s, ext in zip(self.sinks, (".arrow", ".docs.arrow")):
+            s.close()
+            self.fs.delete_file(f"{self.path}{ext}{self.tmp}")
+
+
 class PartReader:
     """Random access to a part. On a local or mounted disk it is a memory map and sequences are views."""
 
@@ -105,8 +111,9 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str | None = None, en
     """Encode docs (doc_id, text, ...) into part files under ``folder``; returns the manifest
     (part, path, n_docs, n_tokens), one row per part, ordered as the documents are.
 
-    A null text is empty and yields only the end id. A null doc_id comes first. Repeated rows are written as
-    often as they occur, in no fixed order among equals. An empty table gives no parts.
+    A null text is empty and yields only the end id; a very long one is written whole, a record batch at a time.
+    A null doc_id comes first. Repeated rows are written as often as they occur, in no fixed order among equals.
+    Other columns are ignored, whatever their names. An empty table gives no parts.
     """
     vocab = vocab or vocabulary()
 
@@ -115,14 +122,19 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str | None = None, en
 
         task, enc, out, n = TaskContext.get(), encoder(vocab), None, 0
         fs, root = pa.fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                if out is None:
-                    fs.create_dir(root)
-                    path = f"{root}/part-{task.partitionId():06d}"
-                    out = PartWriter(fs, path, enc.dtype, length, rows, task.taskAttemptId())
-                out.add(doc_id, np.append(np.frombuffer(enc.encode(text.as_py()), enc.dtype), enc.dtype.type(end_id)))
-                n += 1
+        try:
+            for batch in batches:
+                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                    if out is None:
+                        fs.create_dir(root)
+                        path = f"{root}/part-{task.partitionId():06d}"
+                        out = PartWriter(fs, path, enc.dtype, length, rows, task.taskAttemptId())
+                    out.add(doc_id, np.append(np.frombuffer(enc.encode(text.as_py()), enc.dtype), enc.dtype.type(end_id)))
+                    n += 1
+        except BaseException:
+            if out:
+                out.abort()
+            raise
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [path], "n_docs": [n], "n_tokens": [out.total]})
@@ -155,8 +167,17 @@ def new_folder(spark, name: str) -> str:
     """A fresh folder, as a URI, in the place that all executors share."""
     import uuid
 
-    root = shared_dir(spark)
-    return f"{root if '://' in root else 'file://' + os.path.abspath(root.removeprefix('file:'))}/rasterloom-{name}-{uuid.uuid4().hex}"
+    # Spark's own file system and scheme for the path, so that the files lie where staged tables do
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/rasterloom-{name}-{uuid.uuid4().hex}")
+    return arrow_uri(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString())
+
+
+def arrow_uri(path: str) -> str:
+    """A Hadoop path as pyarrow names it: s3 in place of s3a and s3n, file with an empty host. pyarrow writes to
+    local and mounted disks, hdfs, s3, gs and abfss; a store of another kind must be mounted."""
+    scheme, _, rest = path.partition(":")
+    rest = "//" + rest if not rest.startswith("//") else rest
+    return f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest}"
 
 
 def token_digest(docs: DataFrame, vocab: str | None = None) -> DataFrame:
