@@ -15,30 +15,30 @@ from rasterloom.runtime import staged, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected: no letters, or a tie between languages."""
-    content = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"), 4, 2)))
-    return language_id.identify(docs, content).where("not rejected").select(docs.columns)
+    return language_id.kept(docs, language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"), 4, 2))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group. Rows without doc_id all stay."""
-    dropped = hyperminhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return hyperminhash.without_ids(docs, dropped)
+    """Keeps the smallest doc_id of each group. Of rows that repeat a doc_id or have none, one of each distinct
+    text stays."""
+    return hyperminhash.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item or an edited copy of one."""
+    """Drops documents that hold a benchmark item or an edited copy of one. Null and empty texts, and all
+    texts where there are no items, stay; repeated rows share their fate."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; documents that it doesn't take go."""
-    taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """Repeats each row as often as the mix takes it; rows that it doesn't take, and those without words, go.
+    Rows that repeat a doc_id, or have none, are documents of their own."""
+    return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and returns one row per document copy, read back from them."""
+    """Writes the token files and returns one row per document copy, read back from them; a null text has its
+    end id only, and copies of one document follow each other."""
     return token_files.token_digest(docs)
 
 
