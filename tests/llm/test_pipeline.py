@@ -7,6 +7,7 @@ import numpy as np
 import corpus_pipeline as cp
 from rasterloom.llm import decontaminate as dc
 from rasterloom.llm import language_id as li
+from rasterloom.llm.mixing import mix_sources
 from rasterloom.llm.subwords import Encoder, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -93,3 +94,41 @@ def test_run_on_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+ODD = SCHEMA + ", lang_pred string, rejected int, held int, number long, many string, letters string, row string"
+
+
+def odd_rows():
+    """Repeated rows, null ids, null and very long texts, and columns with names that operators use."""
+    extra = ("p", 7, 8, 9, "m", "l", "r")
+    base = [(i, " ".join(f"word{i}x{k} the und que" for k in range(20)), "en", f"s{i % 3}", 0, *extra) for i in range(30)]
+    base += [base[3]] * 4 + [(None, "no id here but some words " * 3, "en", "s0", 0, *extra)] * 3 + [(None, "another text with no id", None, "s1", 0, *extra)]
+    return base + [(40, None, None, None, 0, *extra), (41, "", "en", "s0", 0, *extra), (42, "long the word " * 30_000, "en", "s1", 0, *extra)]
+
+
+def test_odd_rows_and_columns_pass_every_stage(spark, tmp_path):
+    rows = odd_rows()
+    spark.createDataFrame([(0, "alpha beta gamma delta epsilon")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert {tuple(r) for r in docs.collect()} <= set(rows)
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_near_dedup_keeps_one_row_of_each_repeated_text(spark, tmp_path):
+    got = [r[:2] for r in cp.drop_near_duplicates(spark, spark.createDataFrame(odd_rows(), ODD).repartition(3), str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) == len({r[:2] for r in odd_rows()})
+
+
+def test_mixing_takes_repeated_rows_one_by_one(spark, tmp_path):
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    taken = sum(r.taken for r in mix_sources(docs).collect())
+    got = cp.mix_to_weights(spark, docs, str(tmp_path)).collect()
+    assert sum(len((r.text or "").split()) for r in got) == taken
+    assert sum(r.doc_id == 3 for r in got) <= 3 * 5 and sum(r.doc_id is None for r in got) <= 3 * 4
