@@ -49,22 +49,11 @@ def png_header(data: bytes) -> dict:
         names.append(name)
         if name in DISPLAY_CHUNKS:
             kept.append({"name": name, "data": body})
-    # a control chunk may be the truncated last one
-    animated = "acTL" in names or _tail_name(data) == "acTL"
+    animated = "acTL" in names
     w, h = struct.unpack_from(">II", data, 16) if len(data) >= 24 else (None, None)
     return {"width": w, "height": h, "bit_depth": data[24] if len(data) > 24 else 8, "animated": animated, "chunks": kept}
 
 
-def _tail_name(data: bytes) -> str | None:
-    at = len(PNG_SIGNATURE)
-    while at + 8 <= len(data):
-        size, name = struct.unpack_from(">I4s", data, at)
-        if name == b"IEND" or at + 12 + size > len(data):
-            return name.decode("latin-1")
-        at += 12 + size
-    return None
-
-
 def exif_orientation(tiff: bytes) -> int | None:
     order = {b"I": "<", b"M": ">"}.get(tiff[:1])
     if order is None or len(tiff) < 8:

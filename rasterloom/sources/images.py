@@ -61,45 +61,62 @@ def _unfilter(raw: np.ndarray, height: int, stride: int, step: int) -> np.ndarra
     return out[1:, step:]
 
 
+#: Fixed values of interlacing: first column and row of each pass, and its steps.
+PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+
+
+def _samples(raw: np.ndarray, w: int, h: int, depth: int, samples: int) -> np.ndarray:
+    """(h, w, samples) values of filtered rows."""
+    bits = depth * samples
+    rows = _unfilter(raw, h, (w * bits + 7) // 8, max(1, bits // 8))
+    if depth == 16:
+        return rows.copy().view(">u2").astype(np.uint16).reshape(h, w, samples)
+    if depth == 8:
+        return rows.reshape(h, w, samples)
+    each = np.unpackbits(rows, axis=1).reshape(h, -1, depth)
+    return (each @ (1 << np.arange(depth)[::-1]))[:, :w, None].astype(np.uint8)
+
+
+def _interlaced(raw: np.ndarray, w: int, h: int, depth: int, samples: int) -> np.ndarray:
+    out, at = np.zeros((h, w, samples), np.uint16 if depth == 16 else np.uint8), 0
+    for x, y, dx, dy in PASSES:
+        n, m = -(-(w - x) // dx), -(-(h - y) // dy)
+        if n > 0 and m > 0:
+            size = m * (1 + (n * depth * samples + 7) // 8)
+            out[y::dy, x::dx] = _samples(raw[at : at + size], n, m, depth, samples)
+            at += size
+    return out
+
+
 def read_png(data: bytes) -> np.ndarray | None:
-    """(height, width, 4) pixels of a non-interlaced PNG, 16-bit ones as uint16; None if it can't be read."""
+    """(height, width, 4) pixels of a PNG, 16-bit ones as uint16; None if it can't be read. A colour key makes
+    the pixels that equal it transparent."""
     chunks = list(png_chunks(data))
     if not data.startswith(PNG_SIGNATURE) or not chunks or chunks[0][0] != "IHDR":
         return None
     w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", chunks[0][1])
     samples = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
-    if samples is None or interlaced or w * h > MAX_PIXELS:
+    if samples is None or w * h > MAX_PIXELS:
         return None
-    bits = depth * samples
-    stride = (w * bits + 7) // 8
     raw = np.frombuffer(zlib.decompress(b"".join(b for n, b in chunks if n == "IDAT")), np.uint8)
-    rows = _unfilter(raw, h, stride, max(1, bits // 8))
-    if depth == 16:
-        v = rows.reshape(h, w, samples, 2).astype(np.uint16)
-        v = v[..., 0] << 8 | v[..., 1]
-    elif depth == 8:
-        v = rows.reshape(h, w, samples)
-    else:
-        v = np.unpackbits(rows, axis=1).reshape(h, -1)[:, : stride * 8 // depth * depth].reshape(h, -1, depth)
-        v = (v @ (1 << np.arange(depth)[::-1]))[:, :w, None].astype(np.uint8)
-    top = 65535 if depth == 16 else 255
-    out = np.full((h, w, 4), top, np.uint16 if depth == 16 else np.uint8)
+    v = (_interlaced if interlaced else _samples)(raw, w, h, depth, samples)
+    clear = next((b for n, b in chunks if n == "tRNS"), b"")
     if kind == 3:
         table = np.zeros((256, 4), np.uint8)
         table[:, 3] = 255
-        for n, b in chunks:
-            if n == "PLTE":
-                table[: len(b) // 3, :3] = np.frombuffer(b, np.uint8).reshape(-1, 3)
-            elif n == "tRNS":
-                table[: len(b), 3] = np.frombuffer(b, np.uint8)
+        for b in (b for n, b in chunks if n == "PLTE"):
+            table[: len(b) // 3, :3] = np.frombuffer(b, np.uint8).reshape(-1, 3)
+        table[: len(clear), 3] = np.frombuffer(clear, np.uint8)
         return table[v[..., 0]]
+    out = np.full((h, w, 4), 65535 if depth == 16 else 255, np.uint16 if depth == 16 else np.uint8)
     if kind in (0, 4):
-        scale = 255 // ((1 << depth) - 1) if depth < 8 else 1
-        out[..., :3] = v[..., :1] * np.uint8(scale) if depth < 8 else v[..., :1]
+        out[..., :3] = v[..., :1] * np.uint8(255 // ((1 << depth) - 1)) if depth < 8 else v[..., :1]
     else:
         out[..., :3] = v[..., :3]
     if kind in (4, 6):
         out[..., 3] = v[..., -1]
+    elif len(clear) >= 2 * samples:
+        out[(v == np.frombuffer(clear, ">u2", samples)).all(-1), 3] = 0
     return out
 
 
@@ -108,14 +125,14 @@ def _chunk(name: bytes, body: bytes) -> bytes:
 
 
 def _filtered(rows: np.ndarray, step: int) -> bytes:
-    """Each row by the filter (none, left or up) that leaves the smallest sum of signed residues."""
-    left = rows.copy()
-    left[:, step:] -= rows[:, :-step]
-    up = rows.copy()
-    up[1:] -= rows[:-1]
-    kinds = np.stack([rows, left, up])
-    cost = np.abs(kinds.view(np.int8).astype(np.int32)).sum(-1)
-    best = cost.argmin(0)
+    """Each row by the filter (none, left, up, mean or Paeth) that leaves the smallest sum of signed residues."""
+    side = np.pad(rows, ((1, 0), (step, 0))).astype(np.int16)
+    left, up, corner = side[1:, :-step], side[:-1, step:], side[:-1, :-step]
+    guess = left + up - corner
+    far = np.abs(np.stack([left, up, corner]) - guess)
+    paeth = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+    kinds = np.stack([rows, *(rows - p.astype(np.uint8) for p in (left, up, (left + up) >> 1, paeth))])
+    best = np.abs(kinds.view(np.int8).astype(np.int32)).sum(-1).argmin(0)
     out = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
     out[:, 0] = best
     out[:, 1:] = kinds[best, np.arange(len(rows))]

@@ -23,9 +23,12 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verified(files: DataFrame, checksums: DataFrame) -> DataFrame:
-    """(path, ok): whether each listed file is there with its checksum; files match by the end of their path."""
-    have = files.select(F.col("path").alias("file"), F.sha2("content", 256).alias("have"))
-    return checksums.join(have, have["file"].endswith(checksums["path"]), "left").select("path", F.coalesce(F.col("have") == F.col("sha256"), F.lit(False)).alias("ok"))
+    """(path, ok): whether each listed file is there with its checksum; files match by the end of their path.
+    Names meet by equality, so only files that are listed by name are hashed."""
+    last = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
+    have = files.select(F.col("path").alias("file"), last("path").alias("name"), "content")
+    same = (have["name"] == last(checksums["path"])) & have["file"].endswith(checksums["path"])
+    return checksums.join(have, same, "left").withColumn("have", F.sha2("content", 256)).select("path", F.coalesce(F.col("have") == F.col("sha256"), F.lit(False)).alias("ok"))
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -68,6 +68,7 @@ def test_tone_curves(tag, want):
 def test_animation_flag():
     chunk = lambda n, b=b"": struct.pack(">I", len(b)) + n + b + b"\0\0\0\0"
     assert h.png_header(h.PNG_SIGNATURE + chunk(b"acTL", b"12345678"))["animated"]
-    assert h.png_header(h.PNG_SIGNATURE + struct.pack(">I", 8) + b"acTL")["animated"]
+    # a truncated control chunk says nothing
+    assert not h.png_header(h.PNG_SIGNATURE + struct.pack(">I", 8) + b"acTL")["animated"]
     assert not h.png_header(h.PNG_SIGNATURE + chunk(b"IEND") + chunk(b"acTL"))["animated"]
     assert h.png_header(b"")["bit_depth"] == 8

@@ -84,7 +84,7 @@ def test_quality_scale_and_colour_round_trip():
     back = quantize.to_bytes(quantize.working(rgba)).astype(int)
     assert np.abs(back[:3] - rgba[:3]).max() <= 1 and not back[3].any()
     black, white, clear = (quantize.working(np.array([c], np.uint8)) for c in ([0, 0, 0, 255], [255, 255, 255, 255], [0, 0, 0, 0]))
-    assert quantize.differences(black, white)[0, 0] > 5 and quantize.differences(black, clear)[0, 0] > 2
+    assert quantize.differences(black, white[0])[0] > 5 and quantize.differences(black, clear[0])[0] > 2
 
 
 def test_nearest_equals_brute_force():
@@ -92,7 +92,7 @@ def test_nearest_equals_brute_force():
     pal = quantize.working(rng.integers(0, 256, (64, 4)).astype(np.uint8))
     pts = quantize.working(rng.integers(0, 256, (2000, 4)).astype(np.uint8))
     index, diff = quantize.nearest(pts, pal, block=97)
-    want = quantize.differences(pts, pal)
+    want = np.stack([quantize.differences(pts, p) for p in pal], 1)
     assert np.array_equal(index, want.argmin(1)) and np.allclose(diff, want.min(1))
 
 
@@ -148,3 +148,68 @@ def test_lossless_sees_size_and_ignores_hidden_colour(spark):
     one = spark.createDataFrame([(1, 0, 5, 5, 5, 0), (1, 1, 1, 2, 3, 255), (2, 0, 1, 1, 1, 255), (3, 0, 1, 1, 1, 255)], schema)
     other = spark.createDataFrame([(1, 0, 7, 7, 7, 0), (1, 1, 1, 2, 3, 255), (2, 0, 1, 1, 2, 255), (3, 0, 1, 1, 1, 255), (3, 1, 1, 1, 1, 255)], schema)
     assert {r.k: r.lossless for r in metrics.lossless(metrics.zipped(one, other, ["k", "i"]), "k").collect()} == {1: True, 2: False, 3: False}
+
+
+def test_dithering_picks_the_nearest_entry_of_every_cell():
+    rng = np.random.default_rng(2)
+    palette = quantize.working(rng.integers(0, 256, (40, 4)).astype(np.uint8))
+    entries = quantize.Entries(palette, 16)
+    for p in rng.uniform(-0.1, 1.1, (3000, 4)):
+        want = [((p[1:] - e[1:]) ** 2).sum() + ((p[1:] - e[1:] + e[0] - p[0]) ** 2).sum() for e in palette.astype(float)]
+        assert want[entries.pick(*p)[0]] == pytest.approx(min(want))
+
+
+def _png(w, h, depth, kind, rows, extra=b"", interlaced=0):
+    """A PNG of unfiltered rows, written without the library's writer."""
+    import struct
+    import zlib
+
+    chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, interlaced)) + extra + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def _key(*values):
+    import struct
+    import zlib
+
+    body = struct.pack(f">{len(values)}H", *values)
+    return struct.pack(">I", len(body)) + b"tRNS" + body + struct.pack(">I", zlib.crc32(b"tRNS" + body))
+
+
+@pytest.mark.parametrize(
+    ("depth", "kind", "row", "key", "clear"),
+    [
+        (8, 2, bytes([1, 2, 3, 9, 9, 9, 1, 2, 3]), (1, 2, 3), [0, 2]),
+        (8, 0, bytes([5, 6, 5]), (5,), [0, 2]),
+        (2, 0, bytes([0b01101100]), (1,), [0]),
+        (16, 2, bytes([0, 1, 0, 2, 0, 3, 0, 1, 0, 2, 1, 3, 0, 1, 0, 2, 0, 3]), (1, 2, 3), [0, 2]),
+        (16, 0, bytes([0, 7, 1, 7, 0, 7]), (7,), [0, 2]),
+    ],
+)
+def test_colour_key_is_transparent_and_survives(depth, kind, row, key, clear):
+    data = _png(3, 1, depth, kind, b"\0" + row, _key(*key))
+    px = images.read_png(data)
+    assert np.flatnonzero(px[0, :, 3] == 0).tolist() == clear
+    assert np.array_equal(images.read_png(images.write_png(px)), px)
+
+
+def test_interlaced_png():
+    PASSES = images.PASSES
+
+    rng = np.random.default_rng(3)
+    want = rng.integers(0, 256, (11, 13, 3), np.uint8)
+    rows = b"".join(b"\0" + line.tobytes() for x, y, dx, dy in PASSES for line in want[y::dy, x::dx] if line.size)
+    got = images.read_png(_png(13, 11, 8, 2, rows, interlaced=1))
+    assert np.array_equal(got[..., :3], want) and (got[..., 3] == 255).all()
+    bits = rng.integers(0, 2, (9, 10), np.uint8)
+    rows = b"".join(b"\0" + np.packbits(line).tobytes() for x, y, dx, dy in PASSES for line in bits[y::dy, x::dx] if line.size)
+    assert np.array_equal(images.read_png(_png(10, 9, 1, 0, rows, interlaced=1))[..., 0], bits * 255)
+
+
+def test_writer_uses_every_filter_and_reads_back():
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[0:40, 0:50]
+    for px in (np.stack([x * 5, y * 6, (x + y) * 2, np.full_like(x, 255)], -1), np.stack([x * y % 256, (x * x + y * y) % 256, x ^ y, x * 3], -1), rng.integers(0, 256, (40, 50, 4))):
+        px = px.astype(np.uint8)
+        assert np.array_equal(images.read_png(images.write_png(px)), px)
+        assert np.array_equal(images.read_png(images.write_png(px.astype(np.uint16) * 257)), px.astype(np.uint16) * 257)

@@ -25,7 +25,7 @@ def test_reports_for_each_kind_of_file(spark, tmp_path):
 
 
 def test_guards_come_before_decoding():
-    assert op.guard(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\x08acTL")[0] == "ANIMATED_PNG"
+    assert op.guard(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\x08acTL" + bytes(12))[0] == "ANIMATED_PNG"
     big = images.write_png(np.zeros((1, 1, 4), np.uint8))
     big = big[:16] + (100_000).to_bytes(4, "big") * 2 + big[24:]
     assert op.guard(big)[0] == "RESOURCE_LIMIT"
