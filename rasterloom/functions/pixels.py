@@ -81,3 +81,9 @@ def human_size(n: Column) -> Column:
     unit = F.element_at(F.array(F.lit("KB"), F.lit("MB"), F.lit("GB")), steps + 1)
     text = F.when(scaled >= 10, F.format_string("%.1f", scaled)).otherwise(F.format_string("%.2f", scaled))
     return F.when(F.abs(n) < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.when(n < 0, "−").otherwise(""), text, F.lit(" "), unit))
+
+
+def linear(c: Column) -> Column:
+    """Linear light (0 to 1) of an sRGB byte."""
+    v = c / 255.0
+    return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))

@@ -41,18 +41,26 @@ def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
     return rows.withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), k.cast("string"), dot)))
 
 
-def unique_names_in_order(names: list[str]) -> list[str]:
-    """Sequential form for one archive: the first free of name, name-2, ... ."""
-    taken, out = set(), []
-    for name in names:
+class Names:
+    """Hands out the first free of name, name-2, ... ; each name remembers where to go on."""
+
+    def __init__(self):
+        self.taken, self.next = set(), {}
+
+    def free(self, name: str) -> str:
         stem, dot, ext = name.rpartition(".")
         stem, tail = (stem, dot + ext) if dot else (name, "")
-        pick, k = name, 2
-        while pick in taken:
+        pick, k = name, self.next.get(name, 2)
+        while pick in self.taken:
             pick, k = f"{stem}-{k}{tail}", k + 1
-        taken.add(pick)
-        out.append(pick)
-    return out
+        self.next[name] = k
+        self.taken.add(pick)
+        return pick
+
+
+def unique_names_in_order(names: list[str]) -> list[str]:
+    """Sequential form for one archive."""
+    return list(map(Names().free, names))
 
 
 def zip_outputs(rows: DataFrame, path: str) -> int:
@@ -64,13 +72,10 @@ def zip_outputs(rows: DataFrame, path: str) -> int:
     first = next(it, None)
     if first is None:
         return 0
-    taken: set[str] = set()
-    n = 0
+    names, n = Names(), 0
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
         for r in itertools.chain([first], it):
-            name = unique_names_in_order([*taken, r["name"]])[-1]
-            taken.add(name)
-            z.writestr(name, bytes(r.output))
+            z.writestr(names.free(r["name"]), bytes(r.output))
             n += 1
     return n
 

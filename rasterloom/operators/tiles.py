@@ -43,49 +43,53 @@ def sample_tiles(activity: DataFrame, key: list[str] = (), count: int = TILES) -
     return picked.select(*key, F.col("rank").cast("int").alias("rank"), "tx", "ty", "activity", "target")
 
 
-def tile_pixels(px: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
-    """Pixels of each tile, with coordinates inside it; a range join on the tile's corner."""
-    inside = (F.floor(F.col("x") / size) * size == F.col("tx")) & (F.floor(F.col("y") / size) * size == F.col("ty"))
-    return px.join(tiles.select("tx", "ty"), inside).withColumn("in_x", F.col("x") - F.col("tx")).withColumn("in_y", F.col("y") - F.col("ty"))
+def tile_pixels(px: DataFrame, tiles: DataFrame, size: int, key: list[str] = ()) -> DataFrame:
+    """Pixels of each tile of the same image (``key``), with coordinates inside it; an equality of corners."""
+    corner = lambda c: (F.floor(F.col(c) / size) * size).cast("int")
+    cornered = px.withColumns({"tx": corner("x"), "ty": corner("y")})
+    wanted = tiles.select(*key, F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"))
+    return cornered.join(wanted, [*key, "tx", "ty"]).withColumn("in_x", F.col("x") - F.col("tx")).withColumn("in_y", F.col("y") - F.col("ty"))
 
 
-def _rounded(v: float) -> int:
-    return math.floor(v + 0.5)
+def known_tiles(tiles: DataFrame, wanted: DataFrame, key: list[str] = ()) -> DataFrame:
+    """The sampled tiles (rank) that ``wanted`` (key, rank) asks for; asking for one that doesn't exist is an
+    error that names the rank."""
+    found = wanted.join(tiles, [*key, "rank"], "left")
+    missing = F.concat(F.lit("unknown tile "), F.col("rank").cast("string"))
+    return found.withColumn("tx", F.when(F.col("tx").isNull(), F.raise_error(missing).cast("int")).otherwise(F.col("tx")))
+
+
+def tile_scores(scored: DataFrame, key: list[str] = ()) -> DataFrame:
+    """scored (key, quality, rank, score): an image is as good at a quality as its weakest tile."""
+    return scored.groupBy(*key, "quality").agg(F.min("score").alias("score"), F.min(F.struct("score", "rank"))["rank"].alias("weakest"))
 
 
 def search_quality(score: Callable[[int], float], target: float) -> int:
-    """Lowest quality found that reaches the target, given that scores rise with quality. A passing and a
-    failing quality close in on the answer; the first jumps go by the typical gain of one step."""
-    good = bad = None
-    quality = START
-    for used in range(1, EVALUATIONS + 1):
-        got = score(quality)
-        if got >= target:
-            good = (quality, got)
+    """Lowest quality found that reaches the target, given that scores rise with quality.
+
+    ``low`` misses the target and ``high`` reaches it, or is the last resort. Each probe lies where the nearest
+    known scores meet the target; where a probe left more than half of the interval, the next one halves it."""
+    low, high, margin, probe = LOW - 1, HIGH, {}, START
+    while True:
+        margin[probe] = score(probe) - target
+        width = high - low
+        low, high = (low, probe) if margin[probe] >= 0 else (probe, high)
+        if high - low <= 2 and (high in margin or low >= HIGH - 2) or high - low <= 1 or len(margin) == EVALUATIONS:
+            return high
+        if low in margin and high in margin:
+            meets = low + (high - low) * margin[low] / (margin[low] - margin[high]) if margin[high] > margin[low] else low
+            if 2 * (high - low) > width:
+                meets = (low + high) / 2
         else:
-            bad = (quality, got)
-        if used == EVALUATIONS:
-            break
-        if good and bad:
-            if good[0] - bad[0] <= 2:
-                break
-            share = (target - bad[1]) / max(0.01, good[1] - bad[1])
-            quality = min(good[0] - 1, max(bad[0] + 1, _rounded(bad[0] + share * (good[0] - bad[0]))))
-        elif good:
-            if good[0] <= LOW:
-                break
-            quality = max(LOW, good[0] - max(3, math.ceil((good[1] - target) / PER_QUALITY)))
-        else:
-            if bad[0] >= HIGH:
-                break
-            quality = min(HIGH, bad[0] + max(3, math.ceil((target - bad[1]) / PER_QUALITY)))
-    return good[0] if good else HIGH
+            meets = probe - margin[probe] / PER_QUALITY
+        probe = min(max(math.ceil(meets), low + 1), high - 1)
 
 
-def search_scored(curves: DataFrame, key: str, scores: str, target: str) -> DataFrame:
+def search_scored(curves: DataFrame, key: str | list[str], scores: str, target: str) -> DataFrame:
     """curves (key, scores array for qualities LOW to HIGH, target): the quality the search ends at."""
+
     @F.pandas_udf("int")
     def found(s: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([FALLBACK if v is None or not len(v) else search_quality(lambda q, v=v: float(v[q - LOW]), goal) for v, goal in zip(s, t)], dtype="int32")
 
-    return curves.select(key, found(scores, target).alias("quality"))
+    return curves.select(*([key] if isinstance(key, str) else key), found(scores, target).alias("quality"))

@@ -80,3 +80,13 @@ def no_growth(before: Column, after: Column) -> dict[str, Column]:
 def choose_lossy(lossy: Column, lossless: Column) -> Column:
     """A lossy result must be clearly smaller than the lossless rewrite."""
     return F.when(lossy <= lossless * LOSSY_SHARE, "lossy").otherwise("lossless")
+
+
+def jpeg_passthrough(components: Column) -> Column:
+    """Files of four components are passed on as they are."""
+    return F.coalesce(components == 4, F.lit(False))
+
+
+def chroma_code(chroma: Column) -> Column:
+    """What the encoder calls a subsampling: 1 for full chroma, 0 for halved both ways."""
+    return F.when(chroma == "4:4:4", 1).when(chroma == "4:2:0", 0)

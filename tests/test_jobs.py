@@ -81,3 +81,18 @@ def test_tile_sizes_and_names(spark, tmp_path):
 
     assert reports.zip_outputs(df, str(tmp_path / "o.zip")) == 2 and sorted(zipfile.ZipFile(tmp_path / "o.zip").namelist()) == ["b-2.png", "b.png"]
     assert reports.zip_outputs(df.limit(0), str(tmp_path / "none.zip")) == 0 and not (tmp_path / "none.zip").exists()
+
+
+def test_asking_for_an_unknown_tile_is_an_error(spark):
+    sampled = spark.createDataFrame([("a", 0, 0, 0, 1.0), ("a", 1, 256, 0, 2.0)], "image string, rank int, tx int, ty int, activity double")
+    ask = lambda *ranks: tiles.known_tiles(sampled, spark.createDataFrame([("a", r) for r in ranks], "image string, rank int"), ["image"])
+    assert sorted(r.tx for r in ask(0, 1).collect()) == [0, 256]
+    with pytest.raises(Exception, match="unknown tile 7"):
+        ask(0, 7).collect()
+
+
+def test_tiles_of_different_images_stay_apart(spark):
+    px = spark.createDataFrame([(k, x, 0, x) for k in "ab" for x in range(4)], "image string, x int, y int, g int")
+    picked = spark.createDataFrame([("a", 0, 0), ("b", 2, 0)], "image string, tx int, ty int")
+    got = tiles.tile_pixels(px, picked, 2, ["image"]).collect()
+    assert sorted((r.image, r.x, r.in_x) for r in got) == [("a", 0, 0), ("a", 1, 1), ("b", 2, 0), ("b", 3, 1)]
