@@ -169,12 +169,14 @@ def _literal_pngs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "path string, content binary")
 
 
-@query("path string, width long, height long, bit_depth int, animated boolean, chunks string")
+@query("path string, width long, height long, bit_depth int, animated boolean, chunks string", """SELECT * FROM (VALUES ('plain', 7, 5, 16, false, ''), ('display', 7, 5, 16, false, 'gAMA,pHYs'), ('animated', 825373492, 892745528, 0, true, ''),
+ ('cut', NULL, NULL, 8, false, ''), ('empty', NULL, NULL, 8, false, '')) v(path, width, height, bit_depth, animated, chunks)""")
 def png_headers(spark, sf_dir):
     return headers.png_info(_literal_pngs(spark)).withColumn("chunks", F.array_join(F.transform("chunks", lambda c: c["name"]), ","))
 
 
-@query("path string, ok boolean, components int, orientation int, icc_parts int, icc_valid boolean, icc_space string, icc_kind string")
+@query("path string, ok boolean, components int, orientation int, icc_parts int, icc_valid boolean, icc_space string, icc_kind string", """SELECT * FROM (VALUES ('progressive', true, 4, 1, 0, false, NULL, NULL), ('icc', true, 4, 1, 1, false, 'CMYK', NULL),
+ ('turned', true, 3, 6, 0, false, NULL, NULL), ('cut', false, NULL, NULL, NULL, NULL, NULL, NULL)) v(path, ok, components, orientation, icc_parts, icc_valid, icc_space, icc_kind)""")
 def jpeg_headers(spark, sf_dir):
     sof = lambda n: b"\xff\xc2\x00\x08\x08\x00\x01\x00\x01" + bytes([n])
     icc = b"ICC_PROFILE\0\x01\x01" + bytes(16) + b"CMYK" + bytes(16) + b"acsp" + bytes(88)
@@ -384,15 +386,15 @@ def half_weight_split(spark, sf_dir):
     return palette.half_weight(li, "l_suppkey", [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")], "l_quantity")
 
 
-_ENTRIES = "SELECT vec_id AS entry, CASE WHEN vec_id % 4 = 0 THEN 0.5 ELSE 1.0 END AS a, round(abs(embedding[1]), 4) AS popularity FROM embeddings WHERE vec_id < 256"
+_ENTRIES = "SELECT vec_id // 256 AS palette, vec_id AS entry, CASE WHEN vec_id % 4 = 0 THEN 0.5 ELSE 1.0 END AS a, round(abs(embedding[1]), 4) AS popularity FROM embeddings"
 
 
-@query("entry long, popularity d4, position long", f"""WITH e AS ({_ENTRIES}), r AS (SELECT *, row_number() OVER (ORDER BY a >= 255.0 / 256, popularity DESC, entry) - 1 AS r, count(*) OVER () AS n FROM e)
-SELECT entry, popularity, CASE WHEN n > 16 AND r BETWEEN 1 AND 3 THEN r + 6 WHEN n > 16 AND r BETWEEN 7 AND 9 THEN r - 6 ELSE r END AS position FROM r""")
+@query("palette long, entry long, popularity d4, position long", f"""WITH e AS ({_ENTRIES}), r AS (SELECT *, row_number() OVER (PARTITION BY palette ORDER BY a >= 255.0 / 256, popularity DESC, entry) - 1 AS r, count(*) OVER (PARTITION BY palette) AS n FROM e)
+SELECT palette, entry, popularity, CASE WHEN n > 16 AND r BETWEEN 1 AND 3 THEN r + 6 WHEN n > 16 AND r BETWEEN 7 AND 9 THEN r - 6 ELSE r END AS position FROM r""")
 def palette_order(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").where("vec_id < 256")
-    e = e.select(F.col("vec_id").alias("entry"), F.when(F.col("vec_id") % 4 == 0, 0.5).otherwise(1.0).alias("a"), F.round(F.abs(F.element_at("embedding", 1)), 4).alias("popularity"))
-    return palette.palette_order(e)
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    e = e.select(F.floor(F.col("vec_id") / 256).alias("palette"), F.col("vec_id").alias("entry"), F.when(F.col("vec_id") % 4 == 0, 0.5).otherwise(1.0).alias("a"), F.round(F.abs(F.element_at("embedding", 1)), 4).alias("popularity"))
+    return palette.palette_order(e, "palette")
 
 
 # --- stencils --------------------------------------------------------------------------------------------
@@ -461,12 +463,25 @@ def tile_extract(spark, sf_dir):
     return tiles.tile_pixels(px, picked, 256).groupBy("tx", "ty").agg(F.count("*").alias("pixels"), F.sum("g").alias("green"))
 
 
-@query("p_partkey long, quality int")
+@query("p_partkey long, lowest int, close boolean", """WITH p AS (SELECT p_partkey, 0.2::DOUBLE + p_size / 60.0::DOUBLE AS slope, CASE WHEN p_size % 2 = 0 THEN 71.0::DOUBLE ELSE 77.0::DOUBLE END AS target FROM part),
+q AS (SELECT p_partkey, q, 66.0::DOUBLE + (q - 68) * slope >= target AS meets FROM p, range(68, 93) r(q)) SELECT p_partkey, coalesce(min(q) FILTER (meets), 92) AS lowest, true AS close FROM q GROUP BY p_partkey""")
 def quality_search(spark, sf_dir):
+    """The search ends within two steps of the lowest quality that meets the target, and inside the range."""
     p = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
     slope = 0.2 + F.col("p_size") / 60.0
     scores = F.transform(F.sequence(F.lit(tiles.LOW), F.lit(tiles.HIGH)), lambda q: 66.0 + (q - tiles.LOW) * slope)
-    return tiles.search_scored(p.select("p_partkey", scores.alias("scores"), F.when(F.col("p_size") % 2 == 0, 71.0).otherwise(77.0).alias("target")), "p_partkey", "scores", "target")
+    p = p.select("p_partkey", scores.alias("scores"), F.when(F.col("p_size") % 2 == 0, 71.0).otherwise(77.0).alias("target"))
+    meets = F.filter(F.transform("scores", lambda v, i: F.when(v >= F.col("target"), i + tiles.LOW)), lambda v: v.isNotNull())
+    p = p.withColumn("lowest", F.coalesce(F.array_min(meets), F.lit(tiles.HIGH)))
+    close = (F.abs(F.col("quality") - F.col("lowest")) <= 2) & F.col("quality").between(tiles.LOW, tiles.HIGH)
+    return tiles.search_scored(p, ["p_partkey", "lowest"], "scores", "target").select("p_partkey", "lowest", close.alias("close"))
+
+
+@query("l_suppkey long, quality int, score d6, weakest long", """SELECT l_suppkey, 68 + l_linenumber AS quality, min(l_extendedprice) AS score, min_by(l_orderkey, (l_extendedprice, l_orderkey)) AS weakest FROM lineitem GROUP BY ALL""")
+def weakest_tile(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber", "l_extendedprice", "l_orderkey")
+    scored = li.select("l_suppkey", (F.col("l_linenumber") + tiles.LOW).alias("quality"), F.col("l_orderkey").alias("rank"), F.col("l_extendedprice").alias("score"))
+    return tiles.tile_scores(scored, ["l_suppkey"])
 
 
 # --- pair metrics ----------------------------------------------------------------------------------------
@@ -537,6 +552,19 @@ def benchmark_report(spark, sf_dir):
     return per.join(sums, "l_orderkey").select(F.concat_ws(",", *cells).alias("line"))
 
 
+@query("v int, linear d6", "SELECT v, CASE WHEN v / 255.0::DOUBLE <= 0.04045 THEN v / 255.0::DOUBLE / 12.92 ELSE pow((v / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END AS linear FROM range(256) t(v)")
+def linear_light(spark, sf_dir):
+    return spark.range(256).select(F.col("id").alias("v"), fn.linear(F.col("id")).alias("linear"))
+
+
+@query("components int, chroma string, passthrough boolean, code int, orders long", """SELECT components, chroma, components = 4 AS passthrough, CASE chroma WHEN '4:4:4' THEN 1 WHEN '4:2:0' THEN 0 END AS code, count(*) AS orders
+FROM (SELECT o_orderkey % 4 + 1 AS components, CASE o_custkey % 3 WHEN 0 THEN '4:4:4' WHEN 1 THEN '4:2:0' ELSE '4:2:2' END AS chroma FROM orders) GROUP BY ALL""")
+def jpeg_passthrough(spark, sf_dir):
+    chroma = F.element_at(F.array(*map(F.lit, ["4:4:4", "4:2:0", "4:2:2"])), (F.col("o_custkey") % 3 + 1).cast("int"))
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select((F.col("o_orderkey") % 4 + 1).alias("components"), chroma.alias("chroma"))
+    return o.groupBy("components", "chroma").agg(F.count("*").alias("orders")).select("*", encode.jpeg_passthrough(F.col("components")).alias("passthrough"), encode.chroma_code(F.col("chroma")).alias("code"))
+
+
 # --- jobs ------------------------------------------------------------------------------------------------
 
 #: Stand-in: what each event type says about a job.
@@ -550,7 +578,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("job_id"), (F.col("event_id") % 3).cast("int").alias("attempt"), kind.alias("type"), F.lit("compressing").alias("stage"), F.lit("DECODE_FAILED").alias("code"), (F.col("event_id") % 4 != 0).alias("recoverable"))
 
 
-@query("job_id string, status string, stage string, attempt int, code string, recoverable boolean, applied long, ignored long")
+@query("job_id string, status string, stage string, attempt int, code string, recoverable boolean, applied long, ignored long", f"""WITH RECURSIVE e AS (SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, {_TYPE_SQL} AS t, event_id % 3 AS attempt, event_id % 4 <> 0 AS rec FROM events),
+s AS (SELECT job, 0::BIGINT AS n, 'queued' AS status, NULL::VARCHAR AS stage, 0::BIGINT AS attempt, NULL::VARCHAR AS code, NULL::BOOLEAN AS rec, 0::BIGINT AS applied FROM (SELECT DISTINCT job FROM e)
+UNION ALL SELECT job, n, CASE WHEN NOT ok THEN status WHEN t = 'dispatch' THEN 'processing' WHEN t = 'retry' THEN 'queued' WHEN t = 'complete' THEN 'complete' WHEN t = 'error' THEN 'error' ELSE status END,
+ CASE WHEN NOT ok THEN stage WHEN t = 'dispatch' THEN 'decoding' WHEN t = 'progress' THEN 'compressing' WHEN t = 'retry' THEN stage END, attempt + (ok AND t = 'retry')::INT,
+ CASE WHEN NOT ok THEN code WHEN t = 'error' THEN 'DECODE_FAILED' WHEN t = 'retry' THEN NULL ELSE code END, CASE WHEN NOT ok THEN rec WHEN t = 'error' THEN new_rec WHEN t = 'retry' THEN NULL ELSE rec END, applied + ok::INT
+FROM (SELECT s.*, e.n AS n2, e.t, e.rec AS new_rec, CASE e.t WHEN 'dispatch' THEN s.status = 'queued' WHEN 'retry' THEN s.status = 'cancelled' OR s.status = 'error' AND coalesce(s.rec, true) ELSE e.attempt = s.attempt END AS ok FROM s JOIN e ON e.job = s.job AND e.n = s.n + 1) x(job, n1, status, stage, attempt, code, rec, applied, n, t, new_rec, ok))
+SELECT job AS job_id, status, stage, attempt, code, rec AS recoverable, applied, n - applied AS ignored FROM s QUALIFY row_number() OVER (PARTITION BY job ORDER BY n DESC) = 1""")
 def job_latest_state(spark, sf_dir):
     return jobs.latest_states(_events(spark, sf_dir))
 
@@ -609,8 +643,10 @@ def error_codes(spark, sf_dir):
 # --- whole images ----------------------------------------------------------------------------------------
 
 
-@query("image string, strategy string, colors int, quality int, error d6")
+@query("image string, strategy string, few_colors boolean, good boolean, exact_error boolean", """SELECT * FROM (VALUES ('ramp', 'quantized', true, true, false), ('art', 'exact', true, true, true), ('noise', 'quantized', true, true, false)) v(image, strategy, few_colors, good, exact_error)""")
 def quantize_raster(spark, sf_dir):
+    """At most 256 colours, quality from the least one on, no error where the palette is exact."""
+
     def raster(name: str, px: DataFrame, w: int, h: int) -> DataFrame:
         bytes_ = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", F.concat(*[F.lpad(F.hex(c), 2, "0") for c in "rgba"]).alias("c")))), lambda p: p["c"]), ""))
         return px.agg(bytes_.alias("content")).select(F.lit(name).alias("image"), F.lit(w).cast("long").alias("width"), F.lit(h).cast("long").alias("height"), "content")
@@ -618,4 +654,5 @@ def quantize_raster(spark, sf_dir):
     ramp = rasters.grid(spark, 48, 32).select("x", "y", (F.col("x") * 5).alias("r"), (F.col("y") * 7).alias("g"), ((F.col("x") + F.col("y")) * 3 % 256).alias("b"), F.lit(255).alias("a"))
     art = rasters.grid(spark, 64, 48).select("x", "y", F.when((F.col("x") + F.col("y")) % 3 == 0, 255).otherwise(0).alias("r"), F.when((F.col("x") + F.col("y")) % 3 == 0, 180).otherwise(0).alias("g"), F.when((F.col("x") + F.col("y")) % 3 == 0, 0).otherwise(255).alias("b"), F.when(F.col("x") < 16, 0).otherwise(255).alias("a"))
     images = raster("ramp", ramp, 48, 32).union(raster("art", art, 64, 48)).union(raster("noise", rasters.fixture_png(spark, 64, 48), 64, 48))
-    return quantize.quantize_images(images, "image")
+    found = quantize.quantize_images(images, "image")
+    return found.select("image", "strategy", F.col("colors").between(2, quantize.COLORS).alias("few_colors"), (F.col("quality") >= quantize.MIN_QUALITY).alias("good"), (F.col("error") == 0).alias("exact_error"))
