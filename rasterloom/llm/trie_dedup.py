@@ -22,7 +22,7 @@ from .text import SPACES
 #: node counts for besides its label.
 SPILL_BYTES, NODE = 64 << 20, 500
 #: Strings that a trie of the second level holds on average, by its bits of the content hash.
-STRINGS = 4096
+STRINGS = 512
 
 
 class _Node:
