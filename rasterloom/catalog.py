@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import pixels as fn
 from .operators import analysis, metrics, palette, quantize, reports, stencils, tiles
 from .plans import encode
-from .runtime import table
+from .runtime import spread, table
 from .sources import headers, rasters
 from .streaming import jobs
 
@@ -61,8 +61,7 @@ LUMA = "((54 * r + 183 * g + 19 * b) >> 8)"
 
 
 def doc_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the scan is one file at small scale; dealt out so that generated pixels don't stay in one task
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").repartition("doc_id")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
     return rasters.byte_raster(docs, "text", "doc_id")
 
 
@@ -86,10 +85,13 @@ SELECT *, CASE WHEN flat_area_ratio > 0.72 AND edge_density > 0.04 THEN 'screens
  WHEN entropy > 6.8 AND noise > 0.18 THEN 'photo' ELSE 'mixed' END AS kind FROM j"""
 
 
+def doc_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    return docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").repartition("doc_id")
-    images = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
-    return analysis.with_kind(analysis.analyze(images, "doc_id", rasters.WIDTH))
+    return analysis.with_kind(analysis.analyze(doc_planes(spark, sf_dir), "doc_id", rasters.WIDTH))
 
 
 @query("doc_id long, pixels long, stride long, sampled long, entropy d6, estimated_colors long, edge_density d6, noise d6, flat_area_ratio d6, has_alpha boolean, kind string", _ANALYSIS)
@@ -99,7 +101,7 @@ def content_analysis(spark, sf_dir):
 
 @query("luma long, pixels long", f"WITH {px_sql('pages', 'page_id', 'html')} SELECT {LUMA} AS luma, count(*) AS pixels FROM px GROUP BY ALL")
 def luma_histogram(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages", "page_id", "html").repartition("page_id")
+    pages = spread(table(spark, sf_dir, "pages", "page_id", "html"), "page_id")
     return rasters.byte_raster(pages, "html", "page_id").groupBy(_luma().alias("luma")).agg(F.count("*").alias("pixels"))
 
 
@@ -302,46 +304,33 @@ def posterized_histogram(spark, sf_dir):
     return doc_pixels(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("pixels"))
 
 
-_EXACT = f"""{DOC_PX}, k AS (SELECT doc_id, i, CASE WHEN a = 0 THEN 0 ELSE v END AS color FROM px WHERE i < 64), f AS (SELECT doc_id, color, min(i) AS first, count(*) AS pixels FROM k GROUP BY ALL),
-o AS (SELECT doc_id, color, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS idx, pixels FROM f)"""
+_EXACT = f"""{DOC_PX}, k AS (SELECT doc_id, i, CASE WHEN a = 0 THEN 0 ELSE v END AS color FROM px), f AS (SELECT doc_id, color, min(i) AS first, count(*) AS pixels FROM k GROUP BY ALL),
+o AS (SELECT doc_id, color, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS idx, pixels FROM f QUALIFY count(*) OVER (PARTITION BY doc_id) <= {palette.ENTRIES})"""
 
 
 @query("doc_id long, color long, idx int, pixels long", f"WITH {_EXACT} SELECT * FROM o")
 def exact_palette(spark, sf_dir):
-    return palette.exact_palette(doc_pixels(spark, sf_dir).where("i < 64"), "doc_id")
+    return palette.exact_palette(doc_pixels(spark, sf_dir), "doc_id")
 
 
 @query("doc_id long, i int, idx int", f"WITH {_EXACT} SELECT k.doc_id, i, idx FROM k JOIN o USING (doc_id, color)")
 def palette_index_plane(spark, sf_dir):
-    px = doc_pixels(spark, sf_dir).where("i < 64")
-    return palette.indexed(px, palette.exact_palette(px, "doc_id"), "doc_id")
-
-
-_WHOLE = f"""{DOC_PX}, k AS (SELECT doc_id, i, CASE WHEN a = 0 THEN 0 ELSE v END AS color FROM px), f AS (SELECT doc_id, color, min(i) AS first, count(*) AS pixels FROM k GROUP BY ALL),
-o AS (SELECT doc_id, color, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS idx, pixels FROM f QUALIFY count(*) OVER (PARTITION BY doc_id) <= {palette.ENTRIES})"""
-
-
-@query("doc_id long, color long, idx int, pixels long", f"WITH {_WHOLE} SELECT * FROM o")
-def exact_palette_whole(spark, sf_dir):
-    return palette.exact_palette(doc_pixels(spark, sf_dir), "doc_id")
-
-
-@query("doc_id long, i int, idx int", f"WITH {_WHOLE} SELECT k.doc_id, i, idx FROM k JOIN o USING (doc_id, color)")
-def palette_index_plane_whole(spark, sf_dir):
     px = doc_pixels(spark, sf_dir)
     return palette.indexed(px, palette.exact_palette(px, "doc_id"), "doc_id")
 
 
-_CENTERS = "c AS (SELECT label, [" + ", ".join(f"avg(embedding[{i}]::DOUBLE)" for i in range(1, 9)) + "] AS p FROM embeddings GROUP BY label)"
-_NEAREST = f"""{_CENTERS}, d AS (SELECT vec_id, embedding, e.label AS own, c.label, round(list_sum(list_transform(range(1, 9), lambda i: pow(embedding[i]::DOUBLE - p[i], 2))), 6) AS d FROM embeddings e, c),
+#: Numbers of an embedding; a colour of the palette queries has as many channels.
+DIMS = 64
+_CENTERS = "c AS (SELECT label, [" + ", ".join(f"avg(embedding[{i}]::DOUBLE)" for i in range(1, DIMS + 1)) + "] AS p FROM embeddings GROUP BY label)"
+_NEAREST = f"""{_CENTERS}, d AS (SELECT vec_id, embedding, e.label AS own, c.label, round(list_sum(list_transform(range(1, {DIMS + 1}), lambda i: pow(embedding[i]::DOUBLE - p[i], 2))), 6) AS d FROM embeddings e, c),
 b AS (SELECT vec_id, any_value(own) AS own, any_value(embedding) AS embedding, min_by(label, (d, label)) AS label, min(d) AS d FROM d GROUP BY vec_id)"""
 
 
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    center = F.array(*[F.avg(F.element_at("embedding", i).cast("double")) for i in range(1, 9)])
+    center = F.array(*[F.avg(F.element_at("embedding", i).cast("double")) for i in range(1, DIMS + 1)])
     entries = e.groupBy("label").agg(center.alias("p"))
-    return palette.nearest(e.select("vec_id", F.slice("embedding", 1, 8).alias("c"), F.col("label").alias("own")), entries, "vec_id", "label")
+    return palette.nearest(e.select("vec_id", F.col("embedding").alias("c"), F.col("label").alias("own")), entries, "label")
 
 
 @query("vec_id long, own int, label int, d d6", f"WITH {_NEAREST} SELECT vec_id, own, label, d FROM b")
@@ -349,21 +338,22 @@ def nearest_palette(spark, sf_dir):
     return _nearest(spark, sf_dir)
 
 
-@query("label int, popularity d6, error d6, m0 d6, m1 d6, m2 d6, m3 d6", f"""WITH {_NEAREST}, w AS (SELECT *, 1.0::DOUBLE + vec_id % 3 AS w FROM b)
-SELECT label, sum(w) AS popularity, sum(d * w) / sum(w) AS error, {', '.join(f'sum(embedding[{i + 1}]::DOUBLE * w) / sum(w) AS m{i}' for i in range(4))} FROM w GROUP BY label""")
+@query("label int, popularity d6, error d6, " + ", ".join(f"m{i} d6" for i in range(DIMS)), f"""WITH {_NEAREST}, w AS (SELECT *, 1.0::DOUBLE + vec_id % 3 AS w FROM b)
+SELECT label, sum(w) AS popularity, sum(d * w) / sum(w) AS error, {', '.join(f'sum(embedding[{i + 1}]::DOUBLE * w) / sum(w) AS m{i}' for i in range(DIMS))} FROM w GROUP BY label""")
 def voronoi_step(spark, sf_dir):
-    return palette.voronoi_step(_nearest(spark, sf_dir).withColumn("w", 1.0 + F.col("vec_id") % 3), "label", "c", 4, "w")
+    return palette.voronoi_step(_nearest(spark, sf_dir).withColumn("w", 1.0 + F.col("vec_id") % 3), "label", "c", DIMS, "w")
 
 
-_BIN = """i AS (SELECT label, abs(embedding[1])::DOUBLE AS a, embedding[2]::DOUBLE AS r, embedding[3]::DOUBLE AS g, embedding[4]::DOUBLE AS b, 1.0::DOUBLE + vec_id % 5 AS w FROM embeddings),
+_BIN = """i AS (SELECT label, abs(embedding[k + 1])::DOUBLE AS a, embedding[k + 2]::DOUBLE AS r, embedding[k + 3]::DOUBLE AS g, embedding[k + 4]::DOUBLE AS b, 1.0::DOUBLE + vec_id % 5 AS w FROM embeddings, range(0, 64, 4) t(k)),
 m AS (SELECT label, sum(w) AS weight, count(*) AS colors, sum(a * w) / sum(w) AS m_a, sum(r * w) / sum(w) AS m_r, sum(g * w) / sum(w) AS m_g, sum(b * w) / sum(w) AS m_b FROM i GROUP BY label),
 e AS (SELECT *, pow(m_r - r, 2) + pow(m_r - r + a - m_a, 2) + pow(m_g - g, 2) + pow(m_g - g + a - m_a, 2) + pow(m_b - b, 2) + pow(m_b - b + a - m_a, 2) AS e FROM i JOIN m USING (label)),
 s AS (SELECT label, any_value(weight) AS weight, any_value(colors) AS colors, """ + ", ".join(f"any_value(m_{c}) AS m_{c}, sum(CASE WHEN pow(m_{c} - {c}, 2) < pow({g!r}::DOUBLE, 2) THEN pow(m_{c} - {c}, 2) * 0.25::DOUBLE ELSE pow(m_{c} - {c}, 2) END * w) * {f!r}::DOUBLE AS v_{c}" for c, (f, g) in palette.FACTORS.items()) + ", max(e) AS max_error, sum(e * w) AS total_error FROM e GROUP BY label)"
 
 
 def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda k: F.element_at("embedding", k).cast("double")
-    items = table(spark, sf_dir, "embeddings").select("label", F.abs(at(1)).alias("a"), at(2).alias("r"), at(3).alias("g"), at(4).alias("b"), (1.0 + F.col("vec_id") % 5).alias("w"))
+    at = lambda j: F.element_at("embedding", F.col("k") + j).cast("double")
+    four = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select("*", F.explode(F.sequence(F.lit(0), F.lit(DIMS - 1), F.lit(4))).alias("k"))
+    items = four.select("label", F.abs(at(1)).alias("a"), at(2).alias("r"), at(3).alias("g"), at(4).alias("b"), (1.0 + F.col("vec_id") % 5).alias("w"))
     return palette.bin_statistics(items, "label")
 
 
@@ -490,25 +480,23 @@ _PAIR = f"""{DOC_PX}, q AS (SELECT *, {_POST.format('r')} AS r2, {_POST.format('
 _SUM = "(abs(r - r2) + abs(g - g2) + abs(b - b2))"
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = doc_pixels(spark, sf_dir)
-    other = px.select("doc_id", "i", *[fn.posterized(F.col(c), 3).alias(c) for c in "rgb"], "a")
-    return metrics.zipped(px, other, ["doc_id", "i"])
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.compared(rasters.with_posterized(doc_planes(spark, sf_dir), "doc_id", 3), "doc_id")
 
 
 @query("doc_id long, ssimulacra2 d6, butteraugli d6", f"WITH {_PAIR} SELECT doc_id, greatest(0, least(100, 100 - 100 * avg({_SUM}) / 765)) AS ssimulacra2, 3.0::DOUBLE * max({_SUM}) / 765 AS butteraugli FROM q GROUP BY doc_id")
 def pair_metrics(spark, sf_dir):
-    return metrics.pair_metrics(_pairs(spark, sf_dir), "doc_id")
+    return _compared(spark, sf_dir)
 
 
 @query("doc_id long, changed long, total long, max_delta int", f"WITH {_PAIR}, d AS (SELECT doc_id, greatest(abs(r - r2), abs(g - g2), abs(b - b2)) AS d FROM q) SELECT doc_id, count(*) FILTER (d >= 3) AS changed, count(*) AS total, max(d) AS max_delta FROM d GROUP BY doc_id")
 def pixel_difference(spark, sf_dir):
-    return metrics.pixel_difference(_pairs(spark, sf_dir), "doc_id")
+    return _compared(spark, sf_dir)
 
 
 @query("doc_id long, lossless boolean", f"WITH {_PAIR} SELECT doc_id, bool_and((r = r2 AND g = g2 AND b = b2 AND a = a2) OR (a = 0 AND a2 = 0)) AS lossless FROM q GROUP BY doc_id")
 def lossless_verify(spark, sf_dir):
-    return metrics.lossless(_pairs(spark, sf_dir), "doc_id")
+    return _compared(spark, sf_dir)
 
 
 # --- benchmark reports -----------------------------------------------------------------------------------

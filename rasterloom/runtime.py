@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by ``key`` over all cores, where the scan has fewer splits than there are cores. Larger
+    inputs stay as the scan splits them, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 @functools.cache
 def _package_zip() -> bytes:
     top = Path(__file__).resolve().parent

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import arrow_map
+
 #: Width that a byte raster is given.
 WIDTH = 32
 
@@ -32,6 +38,26 @@ def byte_raster(df: DataFrame, text: str, key: str, spread: bool = True) -> Data
     return px.select("*", *[c.alias(n) for n, c in zip("rgba", channels(F.col("v")))])
 
 
+def with_posterized(images: DataFrame, key: str, bits: int) -> DataFrame:
+    """images (key, content): both planes of RGBA bytes, the second without the low ``bits`` of its colours.
+    Bytes after the last whole pixel don't count."""
+    level = np.arange(256, dtype=np.uint8)
+    level = (level >> bits << bits) | ((level & ((255 >> bits) ^ 255)) >> (8 - bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, other = [], []
+            for c in batch["content"].to_pylist():
+                px = np.frombuffer(c or b"", np.uint8, len(c or b"") // 4 * 4).reshape(-1, 4)
+                flat = px.copy()
+                flat[:, :3] = level[px[:, :3]]
+                whole.append(px.tobytes())
+                other.append(flat.tobytes())
+            yield pa.RecordBatch.from_arrays([batch[key].cast(pa.int64()), pa.array(whole, pa.binary()), pa.array(other, pa.binary())], [key, "content", "other"])
+
+    return arrow_map(images.select(key, "content"), run, f"{key} long, content binary, other binary")
+
+
 def grid(spark: SparkSession, width: int, height: int) -> DataFrame:
     i = F.col("id")
     return spark.range(width * height).select((i % width).cast("int").alias("x"), F.floor(i / width).cast("int").alias("y"))

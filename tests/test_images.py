@@ -144,10 +144,12 @@ def test_pixel_histogram_drops_bits(spark):
 
 
 def test_lossless_sees_size_and_ignores_hidden_colour(spark):
-    schema = "k int, i int, r int, g int, b int, a int"
-    one = spark.createDataFrame([(1, 0, 5, 5, 5, 0), (1, 1, 1, 2, 3, 255), (2, 0, 1, 1, 1, 255), (3, 0, 1, 1, 1, 255)], schema)
-    other = spark.createDataFrame([(1, 0, 7, 7, 7, 0), (1, 1, 1, 2, 3, 255), (2, 0, 1, 1, 2, 255), (3, 0, 1, 1, 1, 255), (3, 1, 1, 1, 1, 255)], schema)
-    assert {r.k: r.lossless for r in metrics.lossless(metrics.zipped(one, other, ["k", "i"]), "k").collect()} == {1: True, 2: False, 3: False}
+    one = [(1, bytearray([5, 5, 5, 0, 1, 2, 3, 255])), (2, bytearray([1, 1, 1, 255])), (3, bytearray([1, 1, 1, 255])), (4, bytearray()), (5, None)]
+    other = [bytearray([7, 7, 7, 0, 1, 2, 3, 255]), bytearray([1, 1, 2, 255]), bytearray([1, 1, 1, 255] * 2), bytearray(), bytearray(4)]
+    pairs = spark.createDataFrame([(*p, q) for p, q in zip(one, other)], "k int, content binary, other binary")
+    got = {r.k: r for r in metrics.compared(pairs, "k").collect()}
+    assert {k: r.lossless for k, r in got.items()} == {1: True, 2: False, 3: False, 5: False}
+    assert {k for k, r in got.items() if r.error == "METRIC_FAILED" and r.ssimulacra2 is None} == {3, 5}
 
 
 def test_dithering_picks_the_nearest_entry_of_every_cell():

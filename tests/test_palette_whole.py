@@ -11,9 +11,9 @@ def test_palettes_hold_every_pixel(spark, tmp_path):
     texts = {1: [word() for _ in range(20)], 2: ["aaaa"] * 64 + ["bbbb", "cccc", "aaaa"], 3: colors[:256] * 2, 4: colors}
     spark.createDataFrame([(d, "".join(t)) for d, t in texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     palettes, planes = {}, {}
-    for r in catalog.QUERIES["exact_palette_whole"](spark, str(tmp_path)).collect():
+    for r in catalog.QUERIES["exact_palette"](spark, str(tmp_path)).collect():
         palettes.setdefault(r.doc_id, {})[r.idx] = (r.color, r.pixels)
-    for r in catalog.QUERIES["palette_index_plane_whole"](spark, str(tmp_path)).collect():
+    for r in catalog.QUERIES["palette_index_plane"](spark, str(tmp_path)).collect():
         planes.setdefault(r.doc_id, {})[r.i] = r.idx
     assert set(palettes) == set(planes) == {1, 2, 3}
     for d in palettes:
