@@ -18,7 +18,7 @@ from .operators import analysis, metrics, palette, quantize, reports, stencils,
 from .plans import encode
 from .runtime import spread, table
 from .sources import headers, rasters
-from .streaming import jobs
+from .streaming import jobs, queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,6 +218,17 @@ def encode_plan(spark, sf_dir):
     return s.select("doc_id", "kind", speed.alias("speed"), encode.png_preset(c("pixels"), c("estimated_colors")).alias("preset"), encode.zopfli_iterations(c("pixels")).alias("zopfli"), encode.jpeg_quality(c("kind")).alias("jpeg_quality"), encode.jpeg_chroma(c("kind")).alias("chroma"), encode.browser_chroma(c("kind"), F.lit(False)).alias("browser_chroma"), more["dither_map"].alias("dither_map"), more["trials"].alias("trials"))
 
 
+@query("preset int, zopfli int, optimize_alpha boolean, keep string, speed int, jpeg_quality int, chroma string, orders long", """SELECT CASE WHEN p <= 1000000 OR (c <= 65536 AND p <= 8000000) THEN 4 WHEN p <= 4000000 THEN 2 ELSE 1 END AS preset, CASE WHEN p <= 65536 THEN 15 WHEN p <= 300000 THEN 3 END AS zopfli, true AS optimize_alpha,
+ 'cICP,iCCP,sRGB,gAMA,cHRM,pHYs,eXIf' AS keep, CASE WHEN c <= 65536 OR p <= 500000 THEN 3 ELSE 5 END AS speed, CASE WHEN k IN ('graphic', 'screenshot') THEN 90 ELSE 88 END AS jpeg_quality, CASE k WHEN 'photo' THEN '4:2:0' WHEN 'mixed' THEN '4:2:2' ELSE '4:4:4' END AS chroma, count(*) AS orders
+FROM (SELECT o_custkey * o_custkey * 20 % 12000000 AS p, o_orderkey * 7919 % 131072 AS c, ['photo', 'mixed', 'graphic', 'screenshot'][o_orderkey % 4 + 1] AS k FROM orders) GROUP BY ALL""")
+def encode_effort(spark, sf_dir):
+    """Every branch of the plans, over sizes and colour counts up to their limits."""
+    kind = F.element_at(F.array(*map(F.lit, ["photo", "mixed", "graphic", "screenshot"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select((F.col("o_custkey") * F.col("o_custkey") * 20 % 12_000_000).alias("p"), (F.col("o_orderkey") * 7919 % 131_072).alias("c"), kind.alias("k"))
+    plan = o.select(encode.png_options(F.col("p"), F.col("c")).alias("o"), encode.quantizer_speed(F.col("p"), F.col("c")).alias("speed"), encode.jpeg_quality(F.col("k")).alias("jpeg_quality"), encode.jpeg_chroma(F.col("k")).alias("chroma"))
+    return plan.groupBy("o.preset", "o.zopfli", "o.optimize_alpha", F.array_join("o.keep", ",").alias("keep"), "speed", "jpeg_quality", "chroma").agg(F.count("*").alias("orders"))
+
+
 @query("speed int, iterations int, iteration_limit d12, trials int, histogram_entries long, dither_map boolean, contrast_maps boolean", """SELECT s AS speed, greatest(8 - s, 0) + greatest(8 - s, 0) * greatest(8 - s, 0) // 2 AS iterations, 1.0::DOUBLE / (1 << (23 - s)) AS iteration_limit,
  greatest(56 - 9 * s, 0) AS trials, 131072 + 262144 * (10 - s) AS histogram_entries, s <= 5 AS dither_map, s <= 7 AS contrast_maps FROM range(1, 11) t(s)""")
 def speed_settings(spark, sf_dir):
@@ -344,17 +355,21 @@ def voronoi_step(spark, sf_dir):
     return palette.voronoi_step(_nearest(spark, sf_dir).withColumn("w", 1.0 + F.col("vec_id") % 3), "label", "c", DIMS, "w")
 
 
-_BIN = """i AS (SELECT label, abs(embedding[k + 1])::DOUBLE AS a, embedding[k + 2]::DOUBLE AS r, embedding[k + 3]::DOUBLE AS g, embedding[k + 4]::DOUBLE AS b, 1.0::DOUBLE + vec_id % 5 AS w FROM embeddings, range(0, 64, 4) t(k)),
+_BIN = """i AS (SELECT label, abs(embedding[k + 1])::DOUBLE AS a, embedding[k + 2]::DOUBLE AS r, embedding[k + 3]::DOUBLE AS g, embedding[k + 4]::DOUBLE AS b, 1.0::DOUBLE + vec_id % 5 AS w, vec_id, k FROM embeddings, range(0, 64, 4) t(k)),
 m AS (SELECT label, sum(w) AS weight, count(*) AS colors, sum(a * w) / sum(w) AS m_a, sum(r * w) / sum(w) AS m_r, sum(g * w) / sum(w) AS m_g, sum(b * w) / sum(w) AS m_b FROM i GROUP BY label),
 e AS (SELECT *, pow(m_r - r, 2) + pow(m_r - r + a - m_a, 2) + pow(m_g - g, 2) + pow(m_g - g + a - m_a, 2) + pow(m_b - b, 2) + pow(m_b - b + a - m_a, 2) AS e FROM i JOIN m USING (label)),
 s AS (SELECT label, any_value(weight) AS weight, any_value(colors) AS colors, """ + ", ".join(f"any_value(m_{c}) AS m_{c}, sum(CASE WHEN pow(m_{c} - {c}, 2) < pow({g!r}::DOUBLE, 2) THEN pow(m_{c} - {c}, 2) * 0.25::DOUBLE ELSE pow(m_{c} - {c}, 2) END * w) * {f!r}::DOUBLE AS v_{c}" for c, (f, g) in palette.FACTORS.items()) + ", max(e) AS max_error, sum(e * w) AS total_error FROM e GROUP BY label)"
 
 
-def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every four numbers of an embedding as a colour of its label's bin."""
     at = lambda j: F.element_at("embedding", F.col("k") + j).cast("double")
     four = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select("*", F.explode(F.sequence(F.lit(0), F.lit(DIMS - 1), F.lit(4))).alias("k"))
-    items = four.select("label", F.abs(at(1)).alias("a"), at(2).alias("r"), at(3).alias("g"), at(4).alias("b"), (1.0 + F.col("vec_id") % 5).alias("w"))
-    return palette.bin_statistics(items, "label")
+    return four.select("vec_id", "k", "label", F.abs(at(1)).alias("a"), at(2).alias("r"), at(3).alias("g"), at(4).alias("b"), (1.0 + F.col("vec_id") % 5).alias("w"))
+
+
+def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return palette.bin_statistics(_items(spark, sf_dir), "label")
 
 
 @query("label int, weight d6, colors long, m_a d6, m_r d6, m_g d6, m_b d6, v_a d6, v_r d6, v_g d6, v_b d6, max_error d6, total_error d6", f"WITH {_BIN} SELECT * FROM s")
@@ -369,6 +384,27 @@ def best_split(spark, sf_dir):
     return scored.agg(F.max_by(F.struct("label", "score", "channels"), F.struct("score", -F.col("label"))).alias("b")).select("b.*")
 
 
+@query("vec_id long, d d6, weight d6", f"WITH {_NEAREST} SELECT vec_id, d, (1.0::DOUBLE + vec_id % 3) * sqrt(1 + d) AS weight FROM b")
+def reweighted_points(spark, sf_dir):
+    return _nearest(spark, sf_dir).withColumn("weight", palette.reweighted(1.0 + F.col("vec_id") % 3, F.col("d")))
+
+
+@query("label int, a d6, r d6, g d6, b d6", f"""WITH {_BIN}, f AS (SELECT *, w * (1 + pow(0.5::DOUBLE - r, 2) + pow(0.5::DOUBLE - g, 2) + pow(0.5::DOUBLE - b, 2)) AS f FROM i),
+v AS (SELECT label, CASE WHEN sum(a * w) / sum(w) >= 1 AND max(a) >= 255.0::DOUBLE / 256 THEN 1.0::DOUBLE ELSE sum(a * w) / sum(w) END AS a, {', '.join(f'sum(CASE WHEN a <> 0 THEN {c} / a ELSE {c} END * f) / sum(f) AS p{c}' for c in 'rgb')} FROM f GROUP BY label)
+SELECT label, a, pr * a AS r, pg * a AS g, pb * a AS b FROM v""")
+def favoring_average(spark, sf_dir):
+    return palette.favoring_average(_items(spark, sf_dir), "label", {c: F.lit(0.5) for c in "rgb"})
+
+
+@query("vec_id long, k int, channels string, key long", f"""WITH {_BIN}, q AS (SELECT label, array_to_string(list_transform(list_sort([(-v_r, 0, 'r'), (-v_g, 1, 'g'), (-v_b, 2, 'b'), (-v_a, 3, 'a')]), lambda t: t[3]), '') AS channels FROM s),
+p AS (SELECT i.*, channels, map {{'a': a, 'r': r, 'g': g, 'b': b}} AS m FROM i JOIN q USING (label))
+SELECT vec_id, k, channels, (greatest(0, floor(m[channels[1]] * 65535))::BIGINT * 65536) | greatest(0, floor((m[channels[3]] + m[channels[2]] / 2 + m[channels[4]] / 4) * 65535))::BIGINT AS key FROM p""")
+def split_keys(spark, sf_dir):
+    # one row per bin of a palette, of which there are at most 256
+    order = _bins(spark, sf_dir).select("label", palette.channel_order().alias("channels")).limit(palette.ENTRIES)
+    return _items(spark, sf_dir).join(F.broadcast(order), "label").withColumn("key", palette.split_key(F.col("channels")))
+
+
 @query("l_suppkey long, split_at long, items long, weight d6", """WITH r AS (SELECT l_suppkey, row_number() OVER o AS rn, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS run, sum(l_quantity) OVER (PARTITION BY l_suppkey) AS whole
 FROM lineitem WINDOW o AS (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber)) SELECT l_suppkey, min(rn) FILTER (run * 2 >= whole) AS split_at, count(*) AS items, max(whole) AS weight FROM r GROUP BY l_suppkey""")
 def half_weight_split(spark, sf_dir):
@@ -577,6 +613,21 @@ def job_latest_state(spark, sf_dir):
     return jobs.latest_states(_events(spark, sf_dir))
 
 
+#: Stand-in: what each event type says about a queue of four jobs.
+_QUEUE = {"view": "progress", "click": "add", "purchase": "complete", "signup": "ready", "error": "error"}
+
+
+@query("queue_id string, jobs long, active_at_most_one boolean, in_order boolean", """SELECT user_id AS queue_id, count(DISTINCT event_id % 4) AS jobs, true AS active_at_most_one, true AS in_order FROM events WHERE event_type = 'click' GROUP BY user_id""")
+def queue_snapshot(spark, sf_dir):
+    """Every added job is in its queue once, and no queue has two active jobs."""
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in _QUEUE.items() for x in kv]), F.col("event_type"))
+    job = F.when(kind != "ready", (F.col("event_id") % 4).cast("string"))
+    e = e.select(F.col("user_id").cast("string").alias("queue_id"), F.col("event_id").alias("seq"), job.alias("job_id"), F.lit(0).alias("attempt"), kind.alias("type"), F.lit("compressing").alias("stage"), F.lit("DECODE_FAILED").alias("code"), F.lit(True).alias("recoverable"))
+    q = queue.queue_states(e).groupBy("queue_id")
+    return q.agg(F.count("*").alias("jobs"), (F.count_if(F.col("status") == "processing") <= 1).alias("active_at_most_one"), ((F.countDistinct("position") == F.count("*")) & (F.max("position") == F.count("*") - 1)).alias("in_order"))
+
+
 @query("seq long, job_id string, current long, accepted boolean", f"""SELECT event_id AS seq, user_id AS job_id, coalesce(sum(({_TYPE_SQL} = 'retry')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS current,
  event_id % 3 = current AS accepted FROM events""")
 def attempt_fencing(spark, sf_dir):
@@ -628,6 +679,50 @@ def error_codes(spark, sf_dir):
     return e.select(reports.parsed_error(text).alias("p")).groupBy("p.code", "p.recoverable").agg(F.count("*").alias("events"))
 
 
+@query("status string, caption string, icon string, actions string, events long", """WITH e AS (SELECT CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'error' ELSE 'cancelled' END AS s,
+ CASE event_id % 5 WHEN 1 THEN 'decoding' WHEN 2 THEN 'analyzing' WHEN 3 THEN 'compressing' WHEN 4 THEN 'finalizing' END AS g, event_id % 2 = 0 AS o, event_id % 3 AS p, CASE WHEN event_id % 7 > 0 THEN event_id % 7 > 2 END AS r FROM events),
+c AS (SELECT s, CASE WHEN s = 'queued' THEN 'Czeka w kolejce' WHEN s = 'processing' THEN CASE coalesce(g, 'decoding') WHEN 'decoding' THEN 'Odczytuję obraz' WHEN 'analyzing' THEN 'Analizuję zawartość' WHEN 'compressing' THEN 'Kompresuję' ELSE 'Kończę' END
+  WHEN s = 'error' THEN CASE WHEN o THEN 'Nowa próba nie powiodła się — poprzedni wynik jest dostępny' ELSE 'Nie udało się skompresować' END WHEN s = 'cancelled' THEN CASE WHEN o THEN 'Przerwano — poprzedni wynik jest dostępny' ELSE 'Anulowano' END
+  WHEN p = 0 THEN 'Gotowe · Brak oszczędności w tym przebiegu' ELSE 'Gotowe' END AS caption, CASE s WHEN 'processing' THEN 'spinner' WHEN 'complete' THEN 'status-dot status-dot--success' WHEN 'error' THEN 'status-dot status-dot--error' ELSE 'status-dot' END AS icon,
+ concat_ws(',', CASE WHEN s <> 'processing' THEN 'remove' END, CASE WHEN s = 'processing' THEN 'cancel' END, CASE WHEN s = 'cancelled' OR s = 'error' AND coalesce(r, true) THEN 'retry' END, CASE WHEN o THEN 'compare,download' END) AS actions FROM e)
+SELECT s AS status, caption, icon, actions, count(*) AS events FROM c GROUP BY ALL""")
+def job_cards(spark, sf_dir):
+    i = F.col("event_id")
+    status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "processing").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "error").otherwise("cancelled")
+    stage = F.element_at(F.array(F.lit(None).cast("string"), *map(F.lit, reports.STAGE)), (i % 5 + 1).cast("int"))
+    e = table(spark, sf_dir, "events", "event_id", "event_type").withColumns({"status": status, "stage": stage})
+    card = reports.job_card(F.col("status"), F.col("stage"), i % 2 == 0, (i % 3).cast("double"), F.when(i % 7 > 0, i % 7 > 2))
+    return e.withColumn("c", card).groupBy("status", "c.caption", "c.icon", F.array_join("c.actions", ",").alias("actions")).agg(F.count("*").alias("events"))
+
+
+@query("name string, unique_name string, seq long", """SELECT unnest(['a.png', 'a.png', 'a-2.png', 'b', 'b', 'a.png', 'a-2.png', 'c-2.png', 'c.png', 'c.png', 'd.png']) AS name, unnest(['a.png', 'a-2.png', 'a-2-2.png', 'b', 'b-2', 'a-3.png', 'a-2-3.png', 'c-2.png', 'c.png', 'c-3.png', 'd.png']) AS unique_name, unnest(range(11)) AS seq""")
+def colliding_names(spark, sf_dir):
+    names = ["a.png", "a.png", "a-2.png", "b", "b", "a.png", "a-2.png", "c-2.png", "c.png", "c.png", "d.png"]
+    return reports.unique_names(spark.createDataFrame(list(enumerate(names)), "seq long, name string"), "name", "seq")
+
+
+@query("doc_id long, size string", """SELECT doc_id, CASE WHEN n < 1048576 THEN printf('%.1f', floor(n / 1024.0::DOUBLE * 10 + 0.5::DOUBLE) / 10) || ' KB' ELSE printf('%.2f', floor(n / 1048576.0::DOUBLE * 100 + 0.5::DOUBLE) / 100) || ' MB' END AS size FROM (SELECT doc_id, n_chars * n_chars AS n FROM documents)""")
+def modal_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id", "n_chars").select("doc_id", fn.modal_size(F.col("n_chars") * F.col("n_chars")).alias("size"))
+
+
+@query("doc_id long, channels long, total long", f"WITH {DOC_PX} SELECT doc_id, sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 3 END) AS channels, sum(CASE WHEN doc_id % 2 = 0 THEN r ELSE r + g + b END) AS total FROM px GROUP BY doc_id")
+def opaque_channels(spark, sf_dir):
+    kept = doc_pixels(spark, sf_dir).withColumn("c", fn.opaque_channels(F.col("r"), F.col("g"), F.col("b"), F.col("doc_id") % 2 == 0))
+    return kept.groupBy("doc_id").agg(F.sum(F.size("c")).alias("channels"), F.sum(F.aggregate("c", F.lit(0), lambda s, v: s + v)).alias("total"))
+
+
+@query("mime string, files long", """WITH f AS (SELECT encode(coalesce(html, '')) AS c FROM pages UNION ALL SELECT unnest([unhex('FFD8FFE072657374'), unhex('89504E470D0A1A0A72657374'), encode('GIF89a'), unhex('FFD8'), encode('')]))
+SELECT CASE WHEN octet_length(c) = 0 THEN 'RESOURCE_LIMIT:bytes' WHEN hex(c) LIKE 'FFD8FF%' THEN 'image/jpeg' WHEN hex(c) LIKE '89504E470D0A1A0A%' THEN 'image/png' ELSE 'UNSUPPORTED_FORMAT' END AS mime, count(*) AS files FROM f GROUP BY ALL""")
+def ingested_types(spark, sf_dir):
+    """Files as they are taken in: the type their bytes tell, or why they are turned away."""
+    heads = spark.createDataFrame([(bytearray(h),) for h in _HEADS], "content binary")
+    files = table(spark, sf_dir, "pages", "html").select(F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content")).union(heads)
+    mime = headers.mime_of(F.col("content"))
+    turned = encode.admission(F.length("content"), F.coalesce(mime, F.lit("")), F.lit(0))
+    return files.groupBy(F.coalesce(turned, mime).alias("mime")).agg(F.count("*").alias("files"))
+
+
 # --- whole images ----------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import optimize as op
-from .operators.reports import optimized_name
+from .operators.reports import metrics_lines, optimized_name, saved_line, timed_line
 from .sources import images, rasters
 
 
@@ -47,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     if a.command == "metrics":
         found = op.measure(Path(a.reference).read_bytes(), Path(a.candidate).read_bytes())
-        print(json.dumps(found, indent=2) if a.json else "ssimulacra2 {ssimulacra2}, butteraugli {butteraugli}".format(**found))
+        print(json.dumps(found, indent=2) if a.json else metrics_lines(found))
         return 0
     spark = SparkSession.builder.getOrCreate()
     if a.command == "fixtures":
@@ -63,11 +63,16 @@ def main(argv: list[str] | None = None) -> int:
             return 1
         target = Path(a.output) if a.output else Path(a.input).with_name(row.pop("name"))
         target.write_bytes(row["output"])
-        print(op.report_json(row) if a.json else f"{a.input}: {row['original_bytes']} -> {row['optimized_bytes']} bytes ({row['saved_percent']:.2f}% saved)")
+        print(op.report_json(row) if a.json else saved_line(row, str(target)))
         return 0
     timed = op.benchmark_runs(images.image_files(spark, a.directory), a.runs, a.warmup)
-    lines = [r.line for r in op.benchmark_csv(timed.cache()).collect()]
-    print("\n".join([op.CSV_HEAD, *lines]) if a.csv or not a.json else json.dumps(lines, indent=2))
+    timed = timed.cache()
+    if a.csv or a.json:
+        lines = [r.line for r in op.benchmark_csv(timed).collect()]
+        print("\n".join([op.CSV_HEAD, *lines]) if a.csv else json.dumps(lines, indent=2))
+    else:
+        for r in op.benchmark_summary(timed).toLocalIterator():
+            print(timed_line(r.path, r.saved_percent, r.median))
     return 0
 
 

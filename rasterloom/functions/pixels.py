@@ -83,6 +83,17 @@ def human_size(n: Column) -> Column:
     return F.when(F.abs(n) < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.when(n < 0, "−").otherwise(""), text, F.lit(" "), unit))
 
 
+def modal_size(n: Column) -> Column:
+    """Kilobytes with one decimal below a megabyte, megabytes with two from there on."""
+    small = F.concat(F.format_string("%.1f", n / 1024.0), F.lit(" KB"))
+    return F.when(n < 1024 * 1024, small).otherwise(F.concat(F.format_string("%.2f", n / 1024.0 / 1024.0), F.lit(" MB")))
+
+
+def opaque_channels(r: Column, g: Column, b: Column, gray: Column) -> Column:
+    """Channels without alpha: the red one alone for grey images."""
+    return F.when(gray, F.array(r)).otherwise(F.array(r, g, b))
+
+
 def linear(c: Column) -> Column:
     """Linear light (0 to 1) of an sRGB byte."""
     v = c / 255.0

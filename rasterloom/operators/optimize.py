@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from ..plans import encode
 from ..runtime import arrow_map
 from ..sources.headers import PNG_SIGNATURE, jpeg_header, png_header
 from ..sources.images import read_png, write_indexed_png, write_png
+from ..streaming.control import Cancelled
 from .analysis import content_stats
 from .quantize import select_palette
 from .reports import csv_cell, optional_number, run_percentiles
@@ -55,9 +56,26 @@ def guard(data: bytes) -> tuple[str | None, dict | None]:
     return (None if pixels else "DECODE_FAILED"), h
 
 
-def optimize_one(path: str, data: bytes) -> dict:
-    """Report and bytes for one file. The original is kept unless the result is smaller."""
+def optimize_one(path: str, data: bytes, observe: Callable[[str, str], None] | None = None, cancelled: Callable[[], bool] | None = None) -> dict:
+    """Report and bytes for one file. The original is kept unless the result is smaller.
+
+    ``observe`` hears (path, stage) as each stage begins; before each, ``cancelled`` may end the work with the
+    original and the code CANCELLED. Both are called where the file is worked on."""
+    try:
+        return _optimized(path, data, observe or (lambda *_: None), cancelled or (lambda: False))
+    except Cancelled:
+        return {"path": path, "format": None, "original_bytes": len(data), "optimized_bytes": len(data), "saved_percent": 0.0, "warnings": [], "output": data, "encoder": "passthrough", "lossless": True, "error": "CANCELLED", "elapsed_ms": None}
+
+
+def _optimized(path: str, data: bytes, observe: Callable[[str, str], None], cancelled: Callable[[], bool]) -> dict:
     began = time.perf_counter()
+
+    def stage(name: str) -> None:
+        if cancelled():
+            raise Cancelled("CANCELLED")
+        observe(path, name)
+
+    stage("decoding")
     error, head = guard(data)
     out = {"path": path, "format": head and head["format"], "original_bytes": len(data), "warnings": [], "output": data, "encoder": "passthrough", "lossless": True, "error": error}
     if error is None and head["format"] == "png":
@@ -71,9 +89,11 @@ def optimize_one(path: str, data: bytes) -> dict:
             h, w, _ = px.shape
             deep = px.dtype == np.uint16
             rgba = (px >> 8).astype(np.uint8) if deep else px
+            stage("analyzing")
             stats = content_stats(np.ascontiguousarray(rgba).reshape(-1, 4), w)
             chunks = [(c["name"], c["data"]) for c in head["chunks"]]
             speed = 3 if stats["estimated_colors"] <= encode.THOROUGH_COLORS or w * h <= encode.THOROUGH_PIXELS else 5
+            stage("compressing")
             picked = None if deep else select_palette(rgba, speed)
             if picked:
                 strategy, palette, indices, quality = picked
@@ -81,6 +101,7 @@ def optimize_one(path: str, data: bytes) -> dict:
                 out |= {"palette_colors": len(palette), "quality": quality}
             else:
                 made, lossless = write_png(px, chunks), True
+            stage("finalizing")
             out |= {"width": w, "height": h, "kind": kind_of(stats)}
             if lossless and not same_pixels(read_png(made), px):
                 out["error"] = "ENCODE_FAILED"
@@ -96,13 +117,13 @@ def optimize_one(path: str, data: bytes) -> dict:
     return out
 
 
-def optimize_files(files: DataFrame) -> DataFrame:
-    """files (path, content): one report row with the bytes for each."""
+def optimize_files(files: DataFrame, observe: Callable[[str, str], None] | None = None, cancelled: Callable[[], bool] | None = None) -> DataFrame:
+    """files (path, content): one report row with the bytes for each. The callables travel to the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, c in zip(batch["path"].to_pylist(), batch["content"]):
-                yield pa.RecordBatch.from_pylist([optimize_one(path, c.as_py() or b"")], schema=pa.schema(_FIELDS))
+                yield pa.RecordBatch.from_pylist([optimize_one(path, c.as_py() or b"", observe, cancelled)], schema=pa.schema(_FIELDS))
 
     return arrow_map(files.select("path", "content"), run, REPORT)
 
@@ -120,11 +141,16 @@ def benchmark_runs(files: DataFrame, runs: int = 5, warmup: int = 1) -> DataFram
     return arrow_map(files.select("path", "content"), go, REPORT.removesuffix(", output binary") + ", run int")
 
 
-def benchmark_csv(timed: DataFrame) -> DataFrame:
-    """The nine-column benchmark table as lines; quotes doubled, missing metrics empty."""
+def benchmark_summary(timed: DataFrame) -> DataFrame:
+    """(path, format, original_bytes, optimized_bytes, saved_percent, runs, median, p95) by path."""
     counted = timed.where("run >= 0 and error is null")
     last = counted.where("run = 0").select("path", "format", "original_bytes", "optimized_bytes", "saved_percent")
-    rows = last.join(run_percentiles(counted, "path", "elapsed_ms"), "path").orderBy("path")
+    return last.join(run_percentiles(counted, "path", "elapsed_ms"), "path").orderBy("path")
+
+
+def benchmark_csv(timed: DataFrame) -> DataFrame:
+    """The nine-column benchmark table as lines; quotes doubled, missing metrics empty."""
+    rows = benchmark_summary(timed)
     none = F.lit(None).cast("double")
     cells = [csv_cell(F.col("path")), F.col("format"), F.col("original_bytes").cast("string"), F.col("optimized_bytes").cast("string"), F.format_string("%.4f", "saved_percent"), optional_number(none), optional_number(none), F.format_string("%.3f", "median"), F.format_string("%.3f", "p95")]
     return rows.select(F.concat_ws(",", *cells).alias("line"))

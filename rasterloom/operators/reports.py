@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 
 def run_percentiles(runs: DataFrame, key: str, value: str) -> DataFrame:
     """Upper median and the value at floor((n - 1) * 95 / 100) of the sorted runs."""
@@ -21,6 +24,22 @@ def optional_number(value: Column, places: int = 5) -> Column:
     return F.when(value.isNull(), "").otherwise(F.format_string(f"%.{places}f", value))
 
 
+def saved_line(row: dict, destination: str) -> str:
+    """What one optimized file gained."""
+    if row["optimized_bytes"] >= row["original_bytes"]:
+        return f"Already optimized → {destination}"
+    return f"Saved {row['saved_percent']:.1f}% ({row['original_bytes']} → {row['optimized_bytes']} bytes) → {destination}"
+
+
+def metrics_lines(found: dict) -> str:
+    text = {k: "" if v is None else f"{v:.5f}" for k, v in found.items()}
+    return f"SSIMULACRA2: {text['ssimulacra2']}\nButteraugli: {text['butteraugli']}"
+
+
+def timed_line(path: str, saved_percent: float, median_ms: float) -> str:
+    return f"{path}: {saved_percent:.1f}% saved in {median_ms:.0f} ms"
+
+
 def optimized_name(path: Column) -> Column:
     """``stem.optimized.ext``; ``jpg`` without an extension."""
     stem = F.regexp_extract(path, r"^(.+?)(\.[^.]*)?$", 1)
@@ -33,12 +52,25 @@ def download_name(name: Column, fmt: Column) -> Column:
 
 
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """``name``, ``name-2``, ``name-3`` in order of appearance. Names are dealt by row number; a literal
-    ``x-2`` beside two ``x`` would meet the suffix, which the sequential form below resolves."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    """The first free of ``name``, ``name-2``, ``name-3``, in order of appearance.
+
+    Only names that are equal but for trailing numbers can meet. Where no such name bears a number itself the
+    row number is the suffix; families with one, like two ``x`` beside an ``x-2``, are dealt in sequence."""
     dot = F.regexp_extract(name, r"(\.[^.]+)$", 1)
     stem = F.regexp_replace(name, r"\.[^.]+$", "")
-    return rows.withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), k.cast("string"), dot)))
+    root = F.concat(F.regexp_replace(stem, r"(-[0-9]+)+$", ""), F.lit("/"), dot)
+    numbered = F.coalesce(F.max(stem.rlike("-[0-9]+$").cast("int")).over(Window.partitionBy("_root")) == 1, F.lit(False))
+    ranked = rows.withColumn("_root", root).withColumn("_numbered", numbered)
+    k = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    plain = ranked.where("not _numbered").withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), k.cast("string"), dot)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        return pdf.assign(unique_name=unique_names_in_order(pdf[name].tolist()))
+
+    ship(rows.sparkSession)
+    dealt = ranked.where("_numbered").groupBy("_root").applyInPandas(run, plain.schema)
+    return plain.unionByName(dealt).drop("_root", "_numbered")
 
 
 class Names:
@@ -90,6 +122,22 @@ def status_caption(status: Column, stage: Column) -> Column:
     return F.when(status == "processing", pick(F.coalesce(stage, F.lit("decoding")), STAGE)).otherwise(pick(status, STATUS))
 
 
+#: Captions where an earlier result is still there, where nothing was saved, and status icons.
+KEPT = {"error": "Nowa próba nie powiodła się — poprzedni wynik jest dostępny", "cancelled": "Przerwano — poprzedni wynik jest dostępny"}
+NO_GAIN = "Gotowe · Brak oszczędności w tym przebiegu"
+ICONS = {"processing": "spinner", "complete": "status-dot status-dot--success", "error": "status-dot status-dot--error"}
+
+
+def job_card(status: Column, stage: Column, has_output: Column, saved_percent: Column, recoverable: Column) -> Column:
+    """struct(caption, icon, actions) of a job as a user sees it."""
+    caption = F.coalesce(*[F.when((status == s) & has_output, text) for s, text in KEPT.items()], F.when((status == "complete") & (saved_percent == 0), NO_GAIN), status_caption(status, stage))
+    icon = F.coalesce(*[F.when(status == s, name) for s, name in ICONS.items()], F.lit("status-dot"))
+    again = (status == "cancelled") | ((status == "error") & F.coalesce(recoverable, F.lit(True)))
+    shown = {"remove": status != "processing", "cancel": status == "processing", "retry": again, "compare": has_output, "download": has_output}
+    actions = F.array_compact(F.array(*[F.when(c, name) for name, c in shown.items()]))
+    return F.struct(caption.alias("caption"), icon.alias("icon"), actions.alias("actions"))
+
+
 #: Code of every error; all are recoverable.
 ERROR_CODES = {
     "Cancelled": "CANCELLED", "UnsupportedFormat": "UNSUPPORTED_FORMAT", "AnimatedPng": "ANIMATED_PNG", "InputTooLarge": "RESOURCE_LIMIT", "PixelLimit": "RESOURCE_LIMIT",

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Fixed values of sampling and search.
 TILE, TILES, LEAST_TILE, SMOOTH = 256, 6, 64, 6.0
 TARGET, SMOOTH_TARGET = 71, 77
@@ -59,6 +61,36 @@ def known_tiles(tiles: DataFrame, wanted: DataFrame, key: list[str] = ()) -> Dat
     return found.withColumn("tx", F.when(F.col("tx").isNull(), F.raise_error(missing).cast("int")).otherwise(F.col("tx")))
 
 
+def score_tiles(references: DataFrame, candidates: DataFrame, prepare: Callable, score: Callable, key: list[str] = ()) -> DataFrame:
+    """references (key, rank, content), candidates (key, rank, quality, content): (key, rank, quality, score).
+    ``prepare`` sees each tile's reference once; ``score`` gets what it returned and a candidate. Candidates
+    of a tile that has no reference, or whose size differs from it, are an error."""
+    by = [*key, "rank"]
+    names = [*by, "quality", "score"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(right):
+            return pd.DataFrame(columns=names)
+        if not len(left):
+            raise ValueError(f"METRIC_FAILED: unknown tile {right['rank'].iloc[0]}")
+        known = left["content"].iloc[0]
+        if any(len(c) != len(known) for c in right["content"]):
+            raise ValueError(f"METRIC_FAILED: sizes differ in tile {right['rank'].iloc[0]}")
+        ready = prepare(known)
+        return right[[*by, "quality"]].assign(score=[float(score(ready, c)) for c in right["content"]])
+
+    types = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in names[:-1])
+    ship(references.sparkSession)
+    return references.groupBy(*by).cogroup(candidates.groupBy(*by)).applyInPandas(run, f"{types}, score double")
+
+
+def choose_quality(curves: DataFrame, key: list[str]) -> DataFrame:
+    """curves (key, quality, score) of every quality, target: the quality the guarded search ends at; images
+    without tiles have null scores and get the fallback."""
+    by = F.transform(F.sort_array(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("quality", "score")))), lambda p: p["score"])
+    return search_scored(curves.groupBy(*key).agg(by.alias("scores"), F.first("target").alias("target")), key, "scores", "target")
+
+
 def tile_scores(scored: DataFrame, key: list[str] = ()) -> DataFrame:
     """scored (key, quality, rank, score): an image is as good at a quality as its weakest tile."""
     return scored.groupBy(*key, "quality").agg(F.min("score").alias("score"), F.min(F.struct("score", "rank"))["rank"].alias("weakest"))

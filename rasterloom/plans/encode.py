@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.headers import DISPLAY_CHUNKS
+
 #: Fixed values of the plans.
 THOROUGH_PIXELS, THOROUGH_COLORS, BALANCED_PIXELS, BRUTE_PIXELS = 500_000, 65_536, 4_000_000, 1_000_000
 ZOPFLI_THOROUGH, ZOPFLI = 65_536, 300_000
@@ -35,6 +37,13 @@ def png_preset(pixels: Column, colors: Column) -> Column:
     return F.when((pixels <= BRUTE_PIXELS) | (few & (pixels <= 2 * BALANCED_PIXELS)), 4).when(pixels <= BALANCED_PIXELS, 2).otherwise(1)
 
 
+def png_options(pixels: Column, colors: Column) -> Column:
+    """struct(preset, zopfli, optimize_alpha, keep): effort by size and colours; hidden colours may change, and
+    only the chunks that tell how to show the image stay."""
+    keep = F.array(*map(F.lit, DISPLAY_CHUNKS))
+    return F.struct(png_preset(pixels, colors).alias("preset"), zopfli_iterations(pixels).alias("zopfli"), F.lit(True).alias("optimize_alpha"), keep.alias("keep"))
+
+
 def zopfli_iterations(pixels: Column) -> Column:
     return F.when(pixels <= ZOPFLI_THOROUGH, 15).when(pixels <= ZOPFLI, 3)
 

@@ -28,6 +28,11 @@ def format_of(content: Column) -> Column:
     return F.when(starts(b"\xff\xd8\xff"), "jpeg").when(starts(PNG_SIGNATURE), "png")
 
 
+def mime_of(content: Column) -> Column:
+    """The type that the first bytes tell, whatever a file was announced as; null if neither format."""
+    return F.concat(F.lit("image/"), format_of(content))
+
+
 def png_chunks(data: bytes) -> Iterator[tuple[str, bytes]]:
     """Chunks in order up to IEND; stops where a chunk runs over the end of the data."""
     at = len(PNG_SIGNATURE)
