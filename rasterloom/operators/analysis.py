@@ -56,14 +56,23 @@ def analyze(images: DataFrame, key: str, width: int) -> DataFrame:
     return arrow_map(images.select(key, "content"), run, f"{key} long, {STATS}")
 
 
-def content_kind(entropy: Column, colors: Column, edges: Column, noise: Column, flat: Column) -> Column:
-    return (
-        F.when((flat > 0.72) & (edges > 0.04), "screenshot")
-        .when((colors < 2000) & (flat > 0.55), "graphic")
-        .when((entropy > 6.8) & (noise > 0.18), "photo")
-        .otherwise("mixed")
-    )
+#: Kinds in order, each with what makes an image one; for columns and for plain numbers alike.
+KINDS = [
+    ("screenshot", lambda s: (s["flat_area_ratio"] > 0.72) & (s["edge_density"] > 0.04)),
+    ("graphic", lambda s: (s["estimated_colors"] < 2000) & (s["flat_area_ratio"] > 0.55)),
+    ("photo", lambda s: (s["entropy"] > 6.8) & (s["noise"] > 0.18)),
+]
+OTHER_KIND = "mixed"
+
+
+def kind_of(stats: dict) -> str:
+    """Content kind of one image's statistics."""
+    return next((name for name, fits in KINDS if fits(stats)), OTHER_KIND)
+
+
+def content_kind(stats: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(fits(stats), name) for name, fits in KINDS], F.lit(OTHER_KIND))
 
 
 def with_kind(stats: DataFrame) -> DataFrame:
-    return stats.withColumn("kind", content_kind(*[F.col(c) for c in ("entropy", "estimated_colors", "edge_density", "noise", "flat_area_ratio")]))
+    return stats.withColumn("kind", content_kind({c: F.col(c) for c in ("entropy", "estimated_colors", "edge_density", "noise", "flat_area_ratio")}))

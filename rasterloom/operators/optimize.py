@@ -17,7 +17,7 @@ from ..runtime import arrow_map
 from ..sources.headers import PNG_SIGNATURE, jpeg_header, png_header
 from ..sources.images import read_png, write_indexed_png, write_png
 from ..streaming.control import Cancelled
-from .analysis import content_stats
+from .analysis import content_stats, kind_of
 from .quantize import select_palette
 from .reports import csv_cell, optional_number, run_percentiles
 
@@ -25,15 +25,6 @@ REPORT = "path string, format string, original_bytes long, optimized_bytes long,
 _FIELDS = [("path", pa.string()), ("format", pa.string()), ("original_bytes", pa.int64()), ("optimized_bytes", pa.int64()), ("saved_percent", pa.float64()), ("width", pa.int64()), ("height", pa.int64()), ("kind", pa.string()), ("encoder", pa.string()), ("lossless", pa.bool_()), ("palette_colors", pa.int32()), ("quality", pa.int32()), ("warnings", pa.list_(pa.string())), ("error", pa.string()), ("elapsed_ms", pa.float64()), ("output", pa.binary())]
 
 
-def kind_of(stats: dict) -> str:
-    """Content kind of one image; the same rules as the column form."""
-    if stats["flat_area_ratio"] > 0.72 and stats["edge_density"] > 0.04:
-        return "screenshot"
-    if stats["estimated_colors"] < 2000 and stats["flat_area_ratio"] > 0.55:
-        return "graphic"
-    return "photo" if stats["entropy"] > 6.8 and stats["noise"] > 0.18 else "mixed"
-
-
 def same_pixels(one: np.ndarray, other: np.ndarray) -> bool:
     """Equal everywhere but where both are transparent."""
     return one.shape == other.shape and bool(((one == other).all(-1) | ((one[..., 3] == 0) & (other[..., 3] == 0))).all())
