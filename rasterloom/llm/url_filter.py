@@ -5,7 +5,7 @@ the template that its path falls under. Digits are generalised at once. Then, le
 host, a segment becomes a wildcard if its parent has many children and it holds few of their pages, or if
 its labelled pages don't differ from its siblings' by a two-sided test. A template is rejected when its
 labelled share of blocked pages, smoothed towards its host's and that towards the whole table's, is high.
-The labels are the rules' verdicts, or those of a column that the caller names.
+The labels are the rules' verdicts and, where no rule fits, those of a column that the caller names.
 """
 
 from __future__ import annotations
@@ -38,27 +38,31 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], label: str | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row of pages (page_id, url, ...).
 
+    ``label`` names a column of ``block``, ``allow`` or null, which counts as evidence for its template where no
+    rule fits; the verdict is still the rule's, else the template's. Other columns are ignored, whatever their
+    names, and very long urls are judged whole.
     A null url, or one without ``://``, has an empty host and path; such pages form a host of their own.
     Repeated rows are judged alike and each counts as evidence; an empty table gives no rows.
     """
     host = lower_ascii(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), PATH, 1)
-    rows = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
+    own = F.lit(None).cast("string") if label is None else F.when(F.col(f"`{label}`").isin("block", "allow"), F.col(f"`{label}`"))
+    rows = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"), own.alias("own"))
     shape = F.regexp_replace("path", "[0-9]+", "#")
     rows = rows.select(
         "*",
         rule_for(F.col("host"), F.col("path"), rules).alias("r"),
         F.regexp_replace(shape, "^/", "").alias("leaf"),
-    ).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("by_rule"), "leaf")
+    ).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("by_rule"), F.coalesce("r.verdict", "own").alias("said"), "leaf")
     # segments that a short path lacks are empty up to the third
     rows = rows.withColumn("leaf", F.concat("leaf", F.repeat(F.lit("/"), F.greatest(F.lit(0), 3 - F.size(F.split("leaf", "/", -1))))))
     rows = staged(rows, "urls")
     leaf = ["host", "leaf"]
     tree = staged(
-        rows.groupBy(*leaf).agg(F.count("*").alias("n"), F.count("by_rule").alias("lab"), F.count_if(F.col("by_rule") == "block").alias("bad")), "leaves"
+        rows.groupBy(*leaf).agg(F.count("*").alias("n"), F.count("said").alias("lab"), F.count_if(F.col("said") == "block").alias("bad")), "leaves"
     ).withColumns({"segments": F.split("leaf", "/", -1), "template": F.col("host")})
     sums = [F.sum(c).alias(c) for c in ("n", "lab", "bad")]
     known, ended, i = ["host", "template"], None, 0

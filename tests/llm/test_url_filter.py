@@ -50,3 +50,14 @@ def test_templates_go_below_the_third_segment(spark):
     assert got["http://h/a/b/other/x/bad"] == ("block", ["*", "bad"])
     assert got["http://h/a/b/other/x/good"] == ("allow", ["*", "good"])
     assert got["http://h/a/b/alone"][1] == []
+
+
+def test_a_column_of_labels_is_evidence_where_no_rule_fits(spark):
+    """Labelled pages condemn the template, so unlabelled ones fall too; a rule's verdict stands."""
+    rows = [(i, f"http://h/spam/{i}", "block" if i < 12 else None) for i in range(15)]
+    rows += [(20 + i, f"http://h/news/{i}", "allow" if i < 12 else "unsure") for i in range(15)] + [(40, "http://h/spam/kept", "block")]
+    df = spark.createDataFrame(rows, "page_id long, url string, `the.label` string")
+    rules = [("allow", "h", "/spam/kept")]
+    with_labels = {r.page_id: r.verdict for r in judge(df, rules, "the.label").collect()}
+    assert [with_labels[i] for i in (0, 12, 14, 20, 34, 40)] == ["block", "block", "block", "allow", "allow", "allow"]
+    assert {r.verdict for r in judge(df, rules).collect()} == {"allow"}
