@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,25 @@ def csv_cell(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A double with so many decimals as C prints it: rounded by its exact binary value, where the JVM's formats
+    round its shortest decimal form. Null stays null."""
+
+    def text(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f"{x:.{places}f}" for x in v.to_pylist()], pa.string())
+
+    return F.arrow_udf(text, "string")(value.cast("double"))
+
+
+def ordered_mean(value: Column, *order: Column) -> Column:
+    """Aggregate: the mean of a group's doubles, added one after the other in ``order``; null where there are
+    none. A plain average adds partial sums as they arrive, so its last digits vary from run to run."""
+    rows = F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], value.alias("v")))))
+    return F.aggregate(rows, F.lit(0.0), lambda total, r: total + r["v"], lambda total: F.try_divide(total, F.size(rows)))
+
+
 def optional_number(value: Column, places: int = 5) -> Column:
-    return F.when(value.isNull(), "").otherwise(F.format_string(f"%.{places}f", value))
+    return F.coalesce(fixed(value, places), F.lit(""))
 
 
 def saved_line(row: dict, destination: str) -> str:
