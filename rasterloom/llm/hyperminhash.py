@@ -5,8 +5,8 @@ zeros of its smallest hash and a few mantissa bits. Bands of registers give cand
 Candidates pass a collision-corrected Jaccard estimate and are then confirmed on their full shingle sets.
 
 Registers of small sets are too few to tell. Their candidates are exact: of two linked sets, each has one of
-the other's first shingles among its own first ones, in an order that all sets share (rarer ones of a sample
-first; the sample decides the work, not the result). Their pairs are passed over only where more buckets
+the other's first shingles among its own first ones, in an order that all sets share (rarer ones first, by
+counts over all documents). Their pairs are passed over only where more buckets
 differ than linked sets can have shingles apart.
 
 No bucket is expanded into all its pairs. Copies with one shingle set are one class from the start. First
@@ -37,8 +37,8 @@ P, R = 7, 10
 BANDS, ROWS = 25, 5
 #: Sets of fewer shingles find their candidates by prefixes, not by bands.
 SMALL = 256
-#: log2 of the counters that order shingles, and one document of so many is counted.
-COUNTERS, SAMPLED = 20, 8
+#: log2 of the counters that order shingles, and of those in a slice; slices are added up apart.
+COUNTERS, SLICE = 20, 14
 #: Register of an empty bucket; no filled one has it.
 EMPTY = np.uint16(0xFFFF)
 #: Standard errors that an estimate may lie below the threshold and still be confirmed exactly.
@@ -113,20 +113,49 @@ def candidate_keys(s: np.ndarray, regs: np.ndarray, threshold: int, counts: np.n
     return np.concatenate(keys)
 
 
+def _slices(counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(len(counts)), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], names=["slice", "counts"])
+
+
 def _frequencies(size: int):
-    """Counts of shingles by their low bits."""
+    """Counts of shingles by their low bits, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTERS, np.int64)
-        for batch in batches:
-            for s in shingle_sets(batch["text"], size):
-                np.add.at(counts, (s & np.uint64((1 << COUNTERS) - 1)).astype(np.int64), 1)
-        used = np.flatnonzero(counts > 1)
-        yield pa.RecordBatch.from_pydict({"slot": used.astype(np.int64), "n": counts[used]})
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                found = np.concatenate([np.empty(0, np.uint64), *shingle_sets(batch["text"], size)])
+                np.add.at(counts, (found & np.uint64((1 << COUNTERS) - 1)).view(np.int64), 1)
+        yield _slices(counts.reshape(-1, 1 << SLICE))
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the slices of a partition, which holds all parts of one slice or of several."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, part in zip(batch["slice"].to_pylist(), batch["counts"]):
+            part = np.frombuffer(part.as_buffer(), np.int64)
+            total[at] = total[at] + part if at in total else part.copy()
+    for at, counts in total.items():
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([at], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
+def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
+    """How many of all documents' sets hold a shingle of each counter. What a task passes on, and what comes
+    here, is of fixed size."""
+    parts = arrow_map(docs.select("text"), _frequencies(size), _COUNTS).repartition(1 << (COUNTERS - SLICE), "slice")
+    counts = np.zeros((1 << (COUNTERS - SLICE), 1 << SLICE), np.int64)
+    got = arrow_map(parts, _added, _COUNTS).toArrow()
+    for at, c in zip(got["slice"].to_pylist(), got["counts"]):
+        counts[at] = np.frombuffer(c.as_buffer(), np.int64)
+    return counts.ravel()
+
+
+_COUNTS = "slice int, counts binary"
+
+
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """One 64-bit key per band; a band takes registers far apart, so borrowed ones seldom meet."""
     rows = regs[: BANDS * ROWS].reshape(ROWS, BANDS).astype(np.uint64)
@@ -318,11 +347,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, threshold: int = 80) -> Data
     """
     spark = docs.sparkSession
     # orders shingles only: any order that all sets share gives the same links
-    counts = np.zeros(1 << COUNTERS, np.int32)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
-    got = arrow_map(some, _frequencies(size), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts[got["slot"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**31 - 1)
-    run, schema = _sketches(size, threshold, spark.sparkContext.broadcast(counts))
+    run, schema = _sketches(size, threshold, spark.sparkContext.broadcast(shingle_counts(docs, size)))
     seen = staged(arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, schema), "sketches")
     firsts = seen.where("regs is not null and n > 0")
     classes = staged(seen.where("n > 0").groupBy("dig").agg(F.min("local").alias("cid"), F.min("doc_id").alias("id")), "classes")

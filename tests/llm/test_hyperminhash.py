@@ -165,3 +165,14 @@ def test_every_member_of_a_crowded_bucket_is_compared(spark, monkeypatch):
         rows.append((i, " ".join(template + tail)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(map(tuple, hm.near_duplicates(df).collect()), key=str) == brute(rows)
+
+
+def test_shingles_are_ordered_by_counts_of_all_documents(spark, monkeypatch):
+    seen, sketches = [], hm._sketches
+    monkeypatch.setattr(hm, "_sketches", lambda size, threshold, shared: seen.append(shared.value) or sketches(size, threshold, shared))
+    rows = corpus()
+    hm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    want = np.zeros(1 << hm.COUNTERS, np.int64)
+    for _, t in rows:
+        np.add.at(want, (hm.shingle_set(t, 4) & np.uint64((1 << hm.COUNTERS) - 1)).astype(np.int64), 1)
+    assert len(seen) == 1 and np.array_equal(seen[0], want)
