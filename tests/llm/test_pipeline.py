@@ -132,3 +132,13 @@ def test_mixing_takes_repeated_rows_one_by_one(spark, tmp_path):
     got = cp.mix_to_weights(spark, docs, str(tmp_path)).collect()
     assert sum(len((r.text or "").split()) for r in got) == taken
     assert sum(r.doc_id == 3 for r in got) <= 3 * 5 and sum(r.doc_id is None for r in got) <= 3 * 4
+
+
+def test_near_dedup_stage_orders_shingles_by_all_documents(spark, monkeypatch):
+    from rasterloom.llm import hyperminhash as hm
+
+    seen, sketches = [], hm._sketches
+    monkeypatch.setattr(hm, "_sketches", lambda size, threshold, shared: seen.append(shared.value) or sketches(size, threshold, shared))
+    rows = [(i, f"one two three four five{i % 9} six{i}") for i in range(40)]
+    cp.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert len(seen) == 1 and seen[0].sum() == 40 * 3
